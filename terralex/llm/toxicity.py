@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from terralex.llm.common import WordHashes, gram_hashes, mixed
 
 #: Labelled documents that the model is fitted on at most.
-SAMPLE = 12_000
+SAMPLE = 8_000
 #: Terms at most, the least share of toxic documents of a term, and terms expected to pass by chance.
 TERMS, PRECISION, CHANCE = 600, 0.75, 0.5
 LEXICONS = 8
@@ -103,8 +103,8 @@ def votes(found: set[str], n: int, words: int, lexicon: dict[str, int]) -> list[
 VOTERS = LEXICONS + 4
 
 
-def copies(texts: list[list[str]]) -> np.ndarray:
-    """A group for each text: near copies, which share the least hash of their three-word runs in one of four orders."""
+def copies(texts: list[str]) -> np.ndarray:
+    """A group for each text (words joined by spaces): near copies, which share the least hash of their three-word runs in one of four orders."""
     memo, of, parent = WordHashes(), {}, list(range(len(texts)))
 
     def root(i: int) -> int:
@@ -113,40 +113,55 @@ def copies(texts: list[list[str]]) -> np.ndarray:
             i = parent[i]
         return i
 
-    for i, words in enumerate(texts):
-        grams = gram_hashes(memo.of([w.encode() for w in words]), 3)
+    for i, text in enumerate(texts):
+        grams = gram_hashes(memo.of(text.encode().split()), 3)
         for k in range(4 if len(grams) else 0):
             a, b = root(i), root(of.setdefault((k, int(mixed(grams ^ np.uint64(k)).min())), i))
             parent[max(a, b)] = min(a, b)
     return np.array([root(i) for i in range(len(texts))], int)
 
 
-def mine(docs: list[set[str]], toxic: np.ndarray) -> dict[str, int]:
+def mine(texts: list[str], toxic: np.ndarray) -> dict[str, int]:
     """Terms with the voter each belongs to: strength in two classes, by a hash within them.
 
-    A term stands out if, of all terms in as many documents or more, less than CHANCE are
-    expected to be this unevenly spread (by the G-test's bound on the tail).
+    Near copies count once. A term stands out if, of all terms in as many toxic texts or more, less
+    than CHANCE are expected to be this unevenly spread (by the G-test's bound on the tail).
     """
-    n1 = int(toxic.sum())
-    n0 = len(toxic) - n1
+    members: dict[int, list[int]] = {}
+    for i, g in enumerate(copies(texts)):
+        members.setdefault(g, []).append(i)
+    marked = {g: any(toxic[i] for i in own) for g, own in members.items()}
+    n1 = sum(marked.values())
+    n0 = len(members) - n1
     if not n1 or not n0:
         return {}
-    texts = Counter(), Counter()
-    for terms, t in zip(docs, toxic, strict=True):
-        texts[t].update(terms)
-    spread = Counter((texts[0] + texts[1]).values())
+
+    def terms(own: list[int]) -> set[str]:
+        return set().union(*(terms_of(texts[i].split()) for i in own))
+
+    in_toxic: Counter = Counter()
+    for g, own in members.items():
+        if marked[g]:
+            in_toxic.update(terms(own))
+    in_clean = {t: 0 for t, n in in_toxic.items() if n >= 3}
     as_many, total = {}, 0
+    spread = Counter(in_toxic.values())
     for n in sorted(spread, reverse=True):
         total += spread[n]
         as_many[n] = total
+    for g, own in members.items():
+        if not marked[g]:
+            for t in terms(own):
+                if t in in_clean:
+                    in_clean[t] += 1
     scored = []
-    for term, a in texts[1].items():
-        b = texts[0].get(term, 0)
-        if a < 3 or a < PRECISION * (a + b):
+    for term, b in in_clean.items():
+        a = in_toxic[term]
+        if a < PRECISION * (a + b):
             continue
         e1, e0 = (a + b) * n1 / (n1 + n0), (a + b) * n0 / (n1 + n0)
         g = 2 * (a * np.log(a / e1) + (b * np.log(b / e0) if b else 0))
-        if as_many[a + b] * np.exp(-g / 2) < CHANCE:
+        if as_many[a] * np.exp(-g / 2) < CHANCE:
             scored.append((-g, term))
     best = [t for _, t in sorted(scored)[:TERMS]]
     half = LEXICONS // 2
@@ -176,22 +191,16 @@ def label_model(votes_of: np.ndarray, prior: float, rounds: int = 50) -> tuple[n
     return post, rates.T
 
 
-def train(texts: list[list[str]], toxic: np.ndarray) -> Model:
-    """A model from the words of sampled documents and their labels."""
+def train(texts: list[str], toxic: np.ndarray) -> Model:
+    """A model from sampled documents (words joined by spaces) and their labels."""
     prior = float((toxic.sum() + 0.5) / (len(toxic) + 1))
     empty = Model({}, {}, [(0.0, 0.0)] * VOTERS, float(np.log(prior / (1 - prior))), [(0.5, 0.5)] * VOTERS)
-    group = copies(texts)
-    merged: dict[int, set[str]] = {}
-    for g, w in zip(group, texts, strict=True):
-        merged.setdefault(g, set()).update(terms_of(w))
-    marked = np.zeros(len(texts), int)
-    np.maximum.at(marked, group, toxic.astype(int))
-    lexicon = mine(list(merged.values()), marked[list(merged)])
+    lexicon = mine(texts, toxic)
     if not lexicon:
         return empty
     probe = Model({}, lexicon, [], 0.0, [])
-    found = [probe.hits(w) for w in texts]
-    v = np.array([votes(f, n, len(w), lexicon) for (f, n), w in zip(found, texts, strict=True)])
+    found = [probe.hits(t.split()) for t in texts]
+    v = np.array([votes(f, n, t.count(" ") + bool(t), lexicon) for (f, n), t in zip(found, texts, strict=True)])
     post, rates = label_model(v, prior)
     names = sorted(lexicon)
     at = {t: i for i, t in enumerate(names)}
@@ -233,7 +242,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     once = rows.mapInArrow(run, "id long, toxic int, words string").groupBy("words").agg(F.max("toxic").alias("toxic"), F.min("id").alias("id"))
     got = sorted(once.collect(), key=lambda r: r["id"])
-    return train([r["words"].split() for r in got], np.array([r["toxic"] > 0 for r in got], bool))
+    return train([r["words"] for r in got], np.array([r["toxic"] > 0 for r in got], bool))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
