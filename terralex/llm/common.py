@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import gc
+import re
 import tempfile
+import unicodedata
 import uuid
 
 import numpy as np
@@ -14,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Distinct words whose hashes a Python worker keeps at once; a full memo is emptied, never refused.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 1_000_000
 
 #: Multiplier of the polynomial word hashes, and the odd constants of a 64-bit finaliser.
 POLY = np.uint64(0x9E3779B97F4A7C15)
@@ -101,6 +103,21 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mixed(h)
 
 
+def byte_of_char() -> dict[str, int]:
+    """The bytes that byte-level vocabularies write as printable characters: the others follow from 256 on."""
+    keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in keep} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(keep)))}
+
+
+#: Beyond this code point characters are looked at one by one.
+PLAIN = re.compile("[\u0370-\U0010ffff]")
+
+
+def unassigned(text: str, also: str = "") -> bool:
+    """Whether a text holds characters on whose class libraries may differ, for they are new, or others given."""
+    return bool(PLAIN.search(text)) and any(c in also or unicodedata.category(c) == "Cn" for c in set(text))
+
+
 def sorted_groups(batches, keys: list[str]):
     """Tables of equal keys from a stream sorted by them; groups must be of bounded size."""
     rest: list[pa.RecordBatch] = []

@@ -1,6 +1,6 @@
 """Lexical retrieval packing: documents that share rare tokens fill one another's windows.
 
-1. Each text is tokenised (each distinct pre-token once, in a bounded memo) and ends in an end id.
+1. Each text is tokenised and ends in an end id.
    Full windows of a long document are sequences of their own; what is left, its tail, is packed.
 2. Token document frequencies over all tails give the weights of BM25. They are as many as the
    vocabulary has ids, however many documents there are.
@@ -13,6 +13,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,13 +21,13 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from terralex.llm.common import MEMO_WORDS, Scratch
+from terralex.llm.common import Scratch, byte_of_char, unassigned
 
 BYTE_BPE = "byte_bpe_50k.json"
 WIDTH = 1024
@@ -37,30 +38,31 @@ K1, B = 1.2, 0.75
 
 
 class Encoder:
-    """Ids of texts as 16-bit numbers, exactly as the tokenizer in a file gives them without special tokens added."""
+    """Ids of texts as 16-bit numbers, exactly as the tokenizer in a file gives them without special tokens added.
+
+    As its ids are the order of its merges, the vocabulary also serves as ranks for a faster encoder. What
+    the two might treat differently goes to the tokenizer itself: special strings, unassigned characters.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        if self.tokenizer.get_vocab_size() > 1 << 16 or self.tokenizer.normalizer is not None:
-            raise ValueError("the vocabulary must have 16-bit ids and no normalizer")
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
-        self.memo: dict[str, bytes] = {}
-
-    def encode(self, text: str) -> np.ndarray:
-        if any(a in text for a in self.added):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
-        pieces = self.split(text)
-        memo = self.memo
-        if new := list(set(pieces).difference(memo)):
-            if len(memo) + len(new) > MEMO_WORDS:
-                memo.clear()
-                new = list(set(pieces))
-            for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                memo[p] = np.array(e.ids, np.uint16).tobytes()
-        return np.frombuffer(b"".join(map(memo.__getitem__, pieces)), np.uint16)
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.added = [t.content for t in added.values()]
+        of = byte_of_char()
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+        if self.tokenizer.normalizer is not None or [model["vocab"][m] for m in merged] != list(range(256, 256 + len(merged))) or self.tokenizer.get_vocab_size() > 1 << 16:
+            raise ValueError("the ids must be the order of the merges, of 16 bits, and nothing normalised")
+        ranks = {bytes(of[c] for c in t): i for t, i in model["vocab"].items() if i not in added}
+        self.fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> list[int]:
+        if any(a in text for a in self.added) or unassigned(text):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.fast.encode_ordinary(text)
 
 
 @lru_cache(2)
@@ -78,7 +80,7 @@ def _tails(path: str, end: int):
         for batch in batches:
             n, crcs, tails = [], [], []
             for text in batch.column("text").to_pylist():
-                ids = np.append(e.encode(text or ""), np.uint16(end))
+                ids = np.array([*e.encode(text or ""), end], np.uint16)
                 full = len(ids) // WIDTH
                 n.append(len(ids))
                 crcs.append([crc(ids[i * WIDTH : (i + 1) * WIDTH]) for i in range(full)])

@@ -20,16 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from terralex.llm.common import MEMO_WORDS
+from terralex.llm.common import MEMO_WORDS, byte_of_char, unassigned
 
 WORD_BPE = "word_bpe_49k.json"
-#: Beyond this code point characters are looked at one by one.
-PLAIN = regex.compile("[Ͱ-\U0010ffff]")
-
 
 def special(text: str) -> bool:
     """Whether Python's tables and the library's may differ: unassigned characters, and the context-dependent sigma."""
-    return bool(PLAIN.search(text)) and any(c == "Σ" or unicodedata.category(c) == "Cn" for c in set(text))
+    return unassigned(text, "Σ")
 
 
 class Counter:
@@ -52,8 +49,7 @@ class Counter:
 
     def _prove(self, mapped: list[str]) -> set[str]:
         """The vocabulary strings that as a pre-token give one token, as text."""
-        keep = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        of = {chr(b): b for b in keep} | {chr(256 + i): b for i, b in enumerate(sorted(set(range(256)) - set(keep)))}
+        of = byte_of_char()
         texts = []
         for x in mapped:
             try:
@@ -62,7 +58,7 @@ class Counter:
                 continue
             if not special(text) and self.split(unicodedata.normalize("NFC", text).lower()) == [text]:
                 texts.append(text)
-        return {t for t, e in zip(texts, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True) if len(e.ids) == 1}
+        return {t for t, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True) if len(e.ids) == 1}
 
     def count(self, text: str) -> int:
         if any(s in text for s in self.added) or special(text):
@@ -77,7 +73,7 @@ class Counter:
             new = list(set(rest))
             if len(counts) + len(new) > MEMO_WORDS + len(self.whole):
                 self.counts = counts = dict.fromkeys(self.whole, 1)
-            merged = {t: len(e.ids) for t, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True)}
+            merged = {t: len(e.ids) for t, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True)}
             counts.update(merged)
             n += sum(map(merged.__getitem__, rest))
         return n
