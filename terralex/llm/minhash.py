@@ -5,9 +5,10 @@
    A pair of similarity 0.8 shares no band with probability (1 - 0.8^4)^24 = 3e-6.
 3. In each bucket the members are compared with its smallest member only: as many pairs as members.
    Pairs whose signatures agree in enough places are confirmed on the full sets.
-4. Buckets whose members still lie in several components are searched fully, in blocks of bounded
-   size, for pairs *between* components; so a link that step 3 didn't see is found without ever
-   expanding a group of copies into pairs.
+4. Buckets whose members still lie in several components are searched in blocks of bounded size for
+   pairs *between* components: twice for each member's best partner by signature, which joins what is
+   left of large groups, and then for all that remain. So no link is lost that would join two
+   components, and no group of copies is expanded into pairs.
 """
 
 from __future__ import annotations
@@ -107,21 +108,26 @@ def _confirmed(percent: int):
     return run
 
 
-def _between(least: float):
-    """Pairs of one block pair whose signatures agree and whose components differ."""
+def _between(least: float, best: bool):
+    """Pairs of one block pair whose signatures agree and whose components differ: each row's best one, or all."""
 
     def run(batches):
         for (_, i, j), t in sorted_groups(batches, ["bucket", "i", "j"]):
             ids, comp, block = (t.column(c).to_numpy() for c in ("id", "comp", "block"))
             sig = fixed_width(t.column("sig"), np.uint32, HASHES)
-            left = np.flatnonzero(block == i)
-            right = np.flatnonzero(block == j)
+            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
             us, vs = [], []
-            for a in left:
-                others = right[(comp[right] != comp[a]) & (ids[right] > ids[a])] if i == j else right[comp[right] != comp[a]]
-                hit = others[(sig[others] == sig[a]).mean(axis=1) >= least] if len(others) else others
-                us += [ids[a]] * len(hit)
-                vs += ids[hit].tolist()
+            for rows, with_ in ((left, right), (right, left)) if best and i != j else ((left, right),):
+                for a in rows:
+                    others = with_[comp[with_] != comp[a]]
+                    if i == j and not best:
+                        others = others[ids[others] > ids[a]]
+                    if not len(others):
+                        continue
+                    agree = (sig[others] == sig[a]).mean(axis=1)
+                    hit = others[agree >= least] if not best else others[[agree.argmax()]] if agree.max() >= least else others[:0]
+                    us += [ids[a]] * len(hit)
+                    vs += ids[hit].tolist()
             yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     return run
@@ -172,16 +178,20 @@ def minhash_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     buckets = scratch.cut(banded.join(shared, "bucket"))
     links = _verified(scratch, docs, reps, buckets.select(F.col("star").alias("u"), F.col("id").alias("v")), k, percent)
     found = components(scratch, links)
-    # buckets that hold several components: pairs between those
-    placed = buckets.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("comp"))
-    split = placed.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("bucket")
-    placed = placed.join(split, "bucket").withColumn("blocks", F.expr(f"cast((n + {BLOCK - 1}) div {BLOCK} as int)"))
-    placed = placed.withColumn("block", F.expr("pmod(xxhash64(id), blocks)")).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
-    placed = placed.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "id", "comp", "block").join(reps.select("id", "sig"), "id")
-    placed = placed.select("bucket", "i", "j", "id", "comp", "block", "sig")
-    pairs = placed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_between(_margin(percent)), "u long, v long")
-    more = _verified(scratch, docs, reps, pairs, k, percent)
-    found = components(scratch, links.union(more))
+    for best in (True, True, False):
+        # buckets that hold several components: pairs between those
+        placed = buckets.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("comp"))
+        split = placed.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("bucket")
+        placed = placed.join(split, "bucket").withColumn("blocks", F.expr(f"cast((n + {BLOCK - 1}) div {BLOCK} as int)"))
+        placed = placed.withColumn("block", F.expr("pmod(xxhash64(id), blocks)")).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
+        placed = placed.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "id", "comp", "block").join(reps.select("id", "sig"), "id")
+        placed = placed.select("bucket", "i", "j", "id", "comp", "block", "sig")
+        pairs = placed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_between(_margin(percent), best), "u long, v long")
+        more = _verified(scratch, docs, reps, pairs, k, percent)
+        if not more.isEmpty():
+            links = scratch.cut(links.union(more))
+            found = components(scratch, links)
+        scratch.release_shuffles()
     roots = reps.select("digest", F.col("id")).join(found.withColumnRenamed("node", "id"), "id", "left").select("digest", F.coalesce("root", "id").alias("root"))
     out = signed.select("doc_id", "n_shingles", "digest").join(roots, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
