@@ -15,8 +15,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Distinct words whose hashes a Python worker keeps at once; a full memo is emptied, never refused.
-MEMO_WORDS = 1_000_000
+#: Distinct pre-tokens whose tokens, and words whose hashes, a Python worker keeps at once; a full memo is emptied, never refused.
+MEMO_WORDS, MEMO_HASHES = 600_000, 150_000
 
 #: Multiplier of the polynomial word hashes, and the odd constants of a 64-bit finaliser.
 POLY = np.uint64(0x9E3779B97F4A7C15)
@@ -76,7 +76,7 @@ class WordHashes(dict):
     """Memo from a word's bytes to its 64-bit hash."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
+        if len(self) >= MEMO_HASHES:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h
