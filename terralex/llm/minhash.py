@@ -7,8 +7,8 @@
    Pairs whose signatures agree in enough places are confirmed on the full sets.
 4. Buckets whose members still lie in several components are searched in blocks of bounded size for
    pairs *between* components: twice for each member's best partner by signature, which joins what is
-   left of large groups, and then for all that remain. So no link is lost that would join two
-   components, and no group of copies is expanded into pairs.
+   left of large groups, and then for all that remain, which are tested on full sets inside the block.
+   So no link is lost that would join two components, and no group of copies is expanded into pairs.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from terralex.llm.common import Scratch, WordHashes, components, fixed_width, gr
 BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
 #: Rows of one block of a bucket that step 4 compares at once.
-BLOCK = 1024
+BLOCK = 512
 
 _rng = np.random.default_rng(20240611)
 MULTIPLIERS = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -100,48 +100,118 @@ def _confirmed(percent: int):
         for batch in batches:
             keep = []
             for a, b in zip(batch.column("set_u"), batch.column("set_v"), strict=True):
-                a, b = (np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b))
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
+                keep.append(similar(*(np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b)), percent))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def _between(least: float, best: bool):
-    """Pairs of one block pair whose signatures agree and whose components differ: each row's best one, or all."""
+GROUP = "bucket long, i long, j long, id long, comp long, block long, band int, sig binary"
+
+
+class Block:
+    """Rows of one pair of blocks of a bucket: which of them may link rows of other components."""
+
+    def __init__(self, t: pa.Table, i: int, j: int, least: float):
+        self.ids, self.comp, block = (t.column(c).to_numpy() for c in ("id", "comp", "block"))
+        self.sig = fixed_width(t.column("sig"), np.uint32, HASHES)
+        self.left, self.right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        self.band, self.least, self.same = t.column("band")[0].as_py(), least, i == j
+
+    def partners(self, a: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of rows, those of other components whose signatures agree with a's, and how much; a pair meets in its first common band."""
+        rows = rows[self.comp[rows] != self.comp[a]]
+        equal = self.sig[rows] == self.sig[a]
+        agree = equal.mean(axis=1)
+        ok = agree >= self.least
+        ok[ok] = ~equal[ok, : self.band * ROWS].reshape(-1, self.band, ROWS).all(axis=2).any(axis=1)
+        return rows[ok], agree[ok]
+
+    def sides(self) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(self.left, self.right)] if self.same else [(self.left, self.right), (self.right, self.left)]
+
+
+def _best(least: float):
+    """Each row's best partner of another component."""
 
     def run(batches):
         for (_, i, j), t in sorted_groups(batches, ["bucket", "i", "j"]):
-            ids, comp, block = (t.column(c).to_numpy() for c in ("id", "comp", "block"))
-            sig = fixed_width(t.column("sig"), np.uint32, HASHES)
-            left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+            b = Block(t, i, j, least)
             us, vs = [], []
-            for rows, with_ in ((left, right), (right, left)) if best and i != j else ((left, right),):
+            for rows, others in b.sides():
+                for a in rows:
+                    hit, agree = b.partners(a, others)
+                    if len(hit):
+                        us.append(b.ids[a])
+                        vs.append(b.ids[hit[agree.argmax()]])
+            yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+
+    return run
+
+
+def _open(least: float):
+    """The rows that have any partner."""
+
+    def run(batches):
+        for (_, i, j), t in sorted_groups(batches, ["bucket", "i", "j"]):
+            b = Block(t, i, j, least)
+            keep = np.zeros(t.num_rows, bool)
+            for rows, others in b.sides():
                 for a in rows:
-                    others = with_[comp[with_] != comp[a]]
-                    if i == j and not best:
-                        others = others[ids[others] > ids[a]]
-                    if not len(others):
-                        continue
-                    agree = (sig[others] == sig[a]).mean(axis=1)
-                    hit = others[agree >= least] if not best else others[[agree.argmax()]] if agree.max() >= least else others[:0]
-                    us += [ids[a]] * len(hit)
-                    vs += ids[hit].tolist()
+                    keep[a] = len(b.partners(a, others)[0]) > 0
+            yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
+
+    return run
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of at least percent/100."""
+    if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def _tested(least: float, percent: int):
+    """Links between components of one pair of blocks, found on full sets; those that components already joined here don't need are left out."""
+
+    def run(batches):
+        for (_, i, j), t in sorted_groups(batches, ["bucket", "i", "j"]):
+            b = Block(t, i, j, least)
+            sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
+            parent: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while (p := parent.setdefault(c, c)) != c:
+                    c = p
+                return c
+
+            us, vs = [], []
+            for a in b.left:
+                for o in b.partners(a, b.right)[0]:
+                    x, y = root(b.comp[a]), root(b.comp[o])
+                    if x != y and similar(sets[a], sets[o], percent):
+                        parent[x] = y
+                        us.append(b.ids[a])
+                        vs.append(b.ids[o])
             yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
     return run
 
 
+def _full_sets(scratch: Scratch, docs: DataFrame, reps: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """id, shingles of the classes in ids."""
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids.distinct().join(reps.select("id", "digest"), "id"), "id")
+    return scratch.cut(texts.mapInArrow(_sets(k), "id long, shingles binary").dropDuplicates(["id"]))
+
+
 def _verified(scratch: Scratch, docs: DataFrame, reps: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """Of pairs (u, v) of class representatives, those that signatures and then full sets confirm."""
     sig = reps.select("id", "sig")
     pairs = pairs.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     pairs = pairs.join(sig.select(F.col("id").alias("u"), F.col("sig").alias("sig_u")), "u").join(sig.select(F.col("id").alias("v"), F.col("sig").alias("sig_v")), "v")
     near = scratch.cut(pairs.mapInArrow(_agree(_margin(percent)), "u long, v long"))
-    ids = near.select(F.col("u").alias("id")).union(near.select(F.col("v").alias("id"))).distinct()
-    texts = docs.select(F.col("doc_id").alias("id"), "text").join(ids.join(reps.select("id", "digest"), "id"), "id")
-    sets = scratch.cut(texts.mapInArrow(_sets(k), "id long, shingles binary").dropDuplicates(["id"]))
+    sets = _full_sets(scratch, docs, reps, near.select(F.col("u").alias("id")).union(near.select(F.col("v").alias("id"))), k)
     both = near.join(sets.select(F.col("id").alias("u"), F.col("shingles").alias("set_u")), "u").join(sets.select(F.col("id").alias("v"), F.col("shingles").alias("set_v")), "v")
     out = scratch.cut(both.mapInArrow(_confirmed(percent), "u long, v long"))
     scratch.drop(near, sets)
@@ -173,21 +243,26 @@ def minhash_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     signed, own = one_digest(scratch, signed, "doc_id")
     reps = scratch.cut(own.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")))
     keys = F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(sig, b * {4 * ROWS} + 1, {4 * ROWS})))")
-    banded = reps.select("id", F.explode(keys).alias("bucket"))
+    banded = reps.select("id", F.posexplode(keys).alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("star")).where("n > 1")
     buckets = scratch.cut(banded.join(shared, "bucket"))
     links = _verified(scratch, docs, reps, buckets.select(F.col("star").alias("u"), F.col("id").alias("v")), k, percent)
     found = components(scratch, links)
-    for best in (True, True, False):
+    group = ["bucket", "i", "j"]
+    for step in ("best", "best", "all"):
         # buckets that hold several components: pairs between those
-        placed = buckets.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("comp"))
+        placed = buckets.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "band", "id", "n", F.coalesce("root", "id").alias("comp"))
         split = placed.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("bucket")
-        placed = placed.join(split, "bucket").withColumn("blocks", F.expr(f"cast((n + {BLOCK - 1}) div {BLOCK} as int)"))
+        placed = placed.join(split, "bucket").withColumn("blocks", F.expr(f"(n + {BLOCK - 1}) div {BLOCK}"))
         placed = placed.withColumn("block", F.expr("pmod(xxhash64(id), blocks)")).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
-        placed = placed.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "id", "comp", "block").join(reps.select("id", "sig"), "id")
-        placed = placed.select("bucket", "i", "j", "id", "comp", "block", "sig")
-        pairs = placed.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(_between(_margin(percent), best), "u long, v long")
-        more = _verified(scratch, docs, reps, pairs, k, percent)
+        placed = placed.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "id", "comp", "block", "band").join(reps.select("id", "sig"), "id")
+        placed = placed.select(*group, "id", "comp", "block", "band", "sig").repartition(*group).sortWithinPartitions(*group)
+        if step == "best":
+            more = _verified(scratch, docs, reps, placed.mapInArrow(_best(_margin(percent)), "u long, v long"), k, percent)
+        else:
+            left = scratch.cut(placed.mapInArrow(_open(_margin(percent)), GROUP))
+            rows = left.join(_full_sets(scratch, docs, reps, left.select("id"), k), "id").repartition(*group).sortWithinPartitions(*group)
+            more = scratch.cut(rows.mapInArrow(_tested(_margin(percent), percent), "u long, v long"))
         if not more.isEmpty():
             links = scratch.cut(links.union(more))
             found = components(scratch, links)
