@@ -124,7 +124,7 @@ class Block:
         equal = self.sig[rows] == self.sig[a]
         agree = equal.mean(axis=1)
         ok = agree >= self.least
-        ok[ok] = ~equal[ok, : self.band * ROWS].reshape(-1, self.band, ROWS).all(axis=2).any(axis=1)
+        ok[ok] = ~equal[ok, : self.band * ROWS].reshape(ok.sum(), self.band, ROWS).all(axis=2).any(axis=1)
         return rows[ok], agree[ok]
 
     def sides(self) -> list[tuple[np.ndarray, np.ndarray]]:
