@@ -80,6 +80,23 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["anchor", "did", "th", "start", "words"])
 
 
+class Numbers(dict):
+    """Words' numbers by order of appearance: the alphabet of a shard's automaton."""
+
+    def __missing__(self, word: bytes) -> int:
+        n = self[word] = len(self)
+        return n
+
+
+def windows(words: tuple[bytes, ...]) -> list[tuple[bytes, ...]]:
+    return [words[i : i + WINDOW] for i in range(len(words) - WINDOW + 1)]
+
+
+def repeats(words: tuple[bytes, ...]) -> bool:
+    """Whether a window of words occurs twice in them; with that, they hold WINDOW words less at least that differ."""
+    return len(set(words)) <= len(words) - WINDOW and len(set(w := windows(words))) < len(w)
+
+
 class Locator:
     """Finds the windows that occurred before, in rows (anchor, did, th, start, words) in order."""
 
@@ -90,94 +107,73 @@ class Locator:
 
     def shard(self, rows: list[tuple]) -> Iterator[tuple[int, int, int, int]]:
         """Word ranges (did, th, from, to) of later occurrences in one shard's rows."""
-        numbers: dict[bytes, int] = {}
-        split: dict[bytes, tuple[bytes, ...]] = {}
+        number = Numbers().__getitem__
         automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         phrases: list[tuple[bytes, ...]] = []
-        coded: dict[bytes, tuple[int, ...]] = {}
-
-        def code(words: tuple[bytes, ...]) -> tuple[int, ...]:
-            return tuple([numbers.setdefault(w, len(numbers)) for w in words])
+        split: dict[bytes, tuple[bytes, ...]] = {}
 
         def add(phrase: tuple[bytes, ...]) -> None:
-            automaton.add_word(code(phrase), len(phrases))
+            automaton.add_word(tuple(map(number, phrase)), len(phrases))
             phrases.append(phrase)
 
-        groups = []
+        active = []
         begin = 0
-        for i in range(1, len(rows) + 1):
-            if i == len(rows) or rows[i][0] != rows[begin][0]:
-                groups.append((begin, i))
-                begin = i
-        open_group = None
-        for begin, end in groups:
-            carried = rows[begin][0] == self.anchor
-            last = end == len(rows)
-            contents = {r[4] for r in rows[begin:end]}
-            for c in contents:
-                if c not in split:
-                    split[c] = tuple(c.split(b" "))
-            if not carried and not last:
-                whole = split[rows[begin][4]]
-                if len(contents) == 1 and len({whole[i : i + WINDOW] for i in range(len(whole) - WINDOW + 1)}) == len(whole) - WINDOW + 1:
-                    if end - begin > 1:  # the whole passage recurs
-                        add(whole)
-                    continue
-                seen, again = set(), {}
-                times = dict.fromkeys(contents, 0)
-                for r in rows[begin:end]:
-                    times[r[4]] += 1
-                for c in contents:
-                    w = split[c]
-                    for i in range(len(w) - WINDOW + 1):
-                        phrase = w[i : i + WINDOW]
-                        if phrase in seen or times[c] > 1:
-                            again[phrase] = None
-                        seen.add(phrase)
-                for phrase in again:
-                    add(phrase)
+        carried_on = None
+        for end in range(1, len(rows) + 1):
+            if end < len(rows) and rows[end][0] == rows[begin][0]:
+                continue
+            anchor = rows[begin][0]
+            whole = anchor != self.anchor and end < len(rows)  # the group neither began before nor goes on
+            if whole and end - begin == 1 and not repeats(words := tuple(rows[begin][4].split(b" "))):
+                begin = end
                 continue
-            new: dict = {}
-            for c in contents:
-                w = split[c]
-                new.update(dict.fromkeys(w[i : i + WINDOW] for i in range(len(w) - WINDOW + 1)))
-            for phrase in new:
-                add(phrase)
-            if last:
-                open_group = rows[begin][0]
-        if not phrases:
-            return
-        automaton.make_automaton()
-        first: dict[tuple[bytes, ...], tuple[int, int, int]] = dict(self.first)
-        for anchor, did, th, start, content in rows:
-            if content not in coded:
-                coded[content] = code(split[content])
-            begin = end = -1
-            for at, p in automaton.iter(coded[content]):
-                phrase = phrases[p]
-                i = start + at - len(phrase) + 1
-                here = (did, th, i)
-                if first.setdefault(phrase, here) != here:
-                    if i > end and end >= 0:
-                        yield did, th, begin, end
-                        begin = i
-                    elif end < 0:
-                        begin = i
-                    end = start + at + 1
-            if end >= 0:
-                yield did, th, begin, end
-        keep = open_group if open_group is not None else None
-        if keep == self.anchor and keep is not None:
-            own = set(self.first)
-        else:
-            own = set()
-        if keep is not None:
-            for r in reversed(rows):
-                if r[0] != keep:
-                    break
-                w = split[r[4]]
-                own.update(w[i : i + WINDOW] for i in range(len(w) - WINDOW + 1))
-        self.anchor, self.first = keep, {p: first[p] for p in own}
+            active.append((begin, end))
+            times: dict[bytes, int] = {}
+            for r in rows[begin:end]:
+                times[r[4]] = times.get(r[4], 0) + 1
+            for c in times:
+                split[c] = tuple(c.split(b" "))
+            if whole and len(times) == 1 and not repeats(words := split[rows[begin][4]]):
+                add(words)  # the whole passage recurs
+            elif whole:
+                seen: dict[tuple[bytes, ...], int] = {}
+                for c, n in times.items():
+                    for w in windows(split[c]):
+                        seen[w] = seen.get(w, 0) + n
+                for w, n in seen.items():
+                    if n > 1:
+                        add(w)
+            else:
+                for w in dict.fromkeys(w for c in times for w in windows(split[c])):
+                    add(w)
+                if end == len(rows):
+                    carried_on = anchor
+            begin = end
+        if phrases:
+            automaton.make_automaton()
+        first = dict(self.first)
+        hits: dict[bytes, list[tuple[int, tuple[bytes, ...]]]] = {}
+        for begin, end in active:
+            for _, did, th, start, content in rows[begin:end]:
+                if content not in hits:
+                    hits[content] = [(at + 1, phrases[p]) for at, p in automaton.iter(tuple(map(number, split[content])))] if phrases else []
+                a = b = -1
+                for at, phrase in hits[content]:
+                    here = (did, th, start + at - len(phrase))
+                    if first.setdefault(phrase, here) != here:
+                        if b < 0:
+                            a = here[2]
+                        elif here[2] > b:
+                            yield did, th, a, b
+                            a = here[2]
+                        b = start + at
+                if b >= 0:
+                    yield did, th, a, b
+        own = set(self.first) if carried_on is not None and carried_on == self.anchor else set()
+        if carried_on is not None:
+            begin, end = active[-1]
+            own.update(w for c in {r[4] for r in rows[begin:end]} for w in windows(split[c]))
+        self.anchor, self.first = carried_on, {w: first[w] for w in own}
 
 
 def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
