@@ -111,7 +111,7 @@ def edited_fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame
     first = rows.where(wanted).withColumn("part", head).groupBy("part").agg(F.min("text").alias("head"))
     first = first.withColumn("head_chosen", fingerprint(F.col("head")))
     order = Window.partitionBy("part").orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    dealt = fingerprints(rows).withColumn("part", part)
+    dealt = fingerprints(rows.withColumn("part", part).repartition("part"))  # texts alone are shuffled
     dealt = dealt.withColumn("next", F.lead(F.struct("text", "chosen")).over(order)).join(first, "part", "left")
     dealt = dealt.withColumns({"next_text": F.coalesce("next.text", "head"), "next_chosen": F.coalesce("next.chosen", "head_chosen")})
     n = F.length("text")
