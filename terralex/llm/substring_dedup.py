@@ -30,8 +30,8 @@ from terralex.llm.common import Scratch, WordHashes, gram_hashes
 WINDOW, GRAM = 20, 6
 #: Windows that one place of a 6-word run can anchor.
 SPAN = WINDOW - GRAM + 1
-#: Stretches of one automaton.
-SHARD = 20_000
+#: Stretches of one automaton; its root has a branch for each first word, which are searched one by one.
+SHARD = 500
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -180,18 +180,23 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     locator = Locator()
     rows: list[tuple] = []
 
-    def flush() -> pa.RecordBatch:
-        found = list(locator.shard(rows))
-        rows.clear()
-        return pa.record_batch([pa.array([f[i] for f in found], pa.int64() if i < 2 else pa.int32()) for i in range(4)], ["did", "th", "a", "b"])
+    found: list[tuple[int, int, int, int]] = []
+
+    def located() -> pa.RecordBatch:
+        out = pa.record_batch([pa.array([f[i] for f in found], pa.int64() if i < 2 else pa.int32()) for i in range(4)], ["did", "th", "a", "b"])
+        found.clear()
+        return out
 
     for batch in batches:
         for row in zip(*(batch.column(c).to_pylist() for c in ("anchor", "did", "th", "start", "words")), strict=True):
             if len(rows) >= SHARD:
-                yield flush()
+                found += locator.shard(rows)
+                rows = []
             rows.append(row)
+        yield located()
     if rows:
-        yield flush()
+        found += locator.shard(rows)
+        yield located()
 
 
 def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
