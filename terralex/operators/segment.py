@@ -1,0 +1,187 @@
+"""Articles to paragraphs to sentences."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from terralex.functions.text import guarded_sentence_list, or_empty, sentence_list, uid
+
+#: Limits of a paragraph.
+MAX_WORDS, TARGET_WORDS, MAX_SENTENCES, MIN_WORDS, HEADING_WORDS = 180, 120, 6, 40, 12
+
+
+def export_parts(df: DataFrame, text: str) -> DataFrame:
+    """A row for each document of an export file."""
+    parts = F.filter(F.transform(F.split(or_empty(F.col(text)), r"(?i)\bEnd of Document\b"), lambda x: F.trim(x)), lambda x: x != "")
+    return df.select("*", F.posexplode(parts).alias("part", "part_text"))
+
+
+def header_and_body(text: Column) -> Column:
+    """struct(header, body): the body starts after the first line that begins with Body and ends before Load-Date."""
+    t = or_empty(text)
+    body = F.regexp_extract(t, r"(?ims)^body\b[^\n]*\n(.*?)(?:^load-date:|\z)", 1)
+    header = F.regexp_extract(t, r"(?is)\A(.*?)(?:^|\n)body\b", 1)
+    return F.struct(F.trim(header).alias("header"), F.when(F.trim(body) == "", F.trim(t)).otherwise(F.trim(body)).alias("body"))
+
+
+def header_fields(header: Column) -> Column:
+    """title, section, length and load-date of a header."""
+    field = lambda name: F.nullif(F.trim(F.regexp_extract(header, rf"(?im)^{name}:\s*(.*)$", 1)), F.lit(""))
+    return F.struct(F.trim(F.regexp_extract(header, r"\A\s*([^\n]*)", 1)).alias("title"), field("section").alias("section"), F.regexp_extract(header, r"(?im)^length:\s*(\d+)", 1).try_cast("int").alias("word_count"), field("load-date").alias("load_date"))
+
+
+def sentences(df: DataFrame, text: str, keys: list[str], guarded: bool = False) -> DataFrame:
+    """keys, sentence_id (from 1), sentence_count, sentence_text."""
+    parts = (guarded_sentence_list if guarded else sentence_list)(F.col(text))
+    rows = df.select(*keys, parts.alias("_s")).select(*keys, F.size("_s").alias("sentence_count"), F.posexplode("_s").alias("i", "s"))
+    return rows.select(*keys, (F.col("i") + 1).alias("sentence_id"), "sentence_count", F.trim("s").alias("sentence_text"))
+
+
+def with_uid(df: DataFrame, parts: list[str]) -> DataFrame:
+    """Adds uid, and row_key: equal uids are numbered from 0."""
+    df = df.withColumn("uid", uid(*(F.col(p) for p in parts)))
+    same = Window.partitionBy("uid")
+    n = F.row_number().over(same.orderBy(*parts)) - 1
+    return df.withColumn("row_key", F.when(F.count("*").over(same) > 1, F.concat("uid", F.lit("__dup"), n.cast("string"))).otherwise(F.col("uid")))
+
+
+def neighbours(df: DataFrame, document: str, order: str, text: str) -> DataFrame:
+    w = Window.partitionBy(document).orderBy(order)
+    return df.withColumns({"previous": F.coalesce(F.lag(text).over(w), F.lit("")), "following": F.coalesce(F.lead(text).over(w), F.lit(""))})
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """Cosine of two arrays; 0 if either has no length."""
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)
+    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(norm == 0, F.lit(0.0)).otherwise(dot(a, b) / norm)
+
+
+def content_shifts(df: DataFrame, document: str, order: str, vector: str, words: str, least: float = 0.48, before: int = 40, after: int = 20) -> DataFrame:
+    """Marks segments that begin a new passage: unlike the one before, with enough words on either side."""
+    w = Window.partitionBy(document).orderBy(order)
+    df = df.withColumn("similarity", F.when(F.lag(vector).over(w).isNotNull(), cosine(F.lag(vector).over(w), F.col(vector))))
+    left = F.coalesce(F.sum(words).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    right = F.sum(words).over(w.rowsBetween(0, Window.unboundedFollowing))
+    return df.withColumn("shift", F.coalesce((F.col("similarity") < least) & (left >= before) & (right >= after), F.lit(False)))
+
+
+def packed_sentences(parts: list[str]) -> list[list[str]]:
+    """Sentences to groups within the limits; a short group joins the next, or the one before."""
+    groups: list[list[str]] = []
+    now: list[str] = []
+    count = 0
+    for s in parts:
+        n = len(s.split())
+        if now and (count + n > MAX_WORDS or len(now) >= MAX_SENTENCES or count >= TARGET_WORDS):
+            groups.append(now)
+            now, count = [], 0
+        now.append(s)
+        count += n
+    if now:
+        groups.append(now)
+    words = lambda g: sum(len(s.split()) for s in g)
+    i = 0
+    while i < len(groups):
+        if words(groups[i]) < MIN_WORDS and len(groups) > 1:
+            for j in (i + 1, i - 1):
+                if 0 <= j < len(groups) and words(groups[i]) + words(groups[j]) <= MAX_WORDS and len(groups[i]) + len(groups[j]) <= MAX_SENTENCES:
+                    a, b = sorted((i, j))
+                    groups[a : b + 1] = [groups[a] + groups[b]]
+                    i = a - 1
+                    break
+        i += 1
+    return groups
+
+
+def _heading(block: str) -> bool:
+    return len(block.split()) <= HEADING_WORDS and not block.rstrip().endswith((".", "!", "?", ";", ":"))
+
+
+def layout_blocks(text: str) -> list[str]:
+    """Blocks between empty lines; lines are joined, words hyphenated at a line's end too."""
+    out, now = [], ""
+    for line in [*text.split("\n"), ""]:
+        line = line.strip()
+        if not line:
+            if now:
+                out.append(now)
+            now = ""
+        elif now.endswith("-") and line[:1].islower():
+            now = now[:-1] + line
+        else:
+            now = f"{now} {line}".strip()
+    return out
+
+
+def paragraphs_of(text: str) -> list[tuple[str, str]]:
+    """(paragraph, reason): blocks as they are, long ones split at sentences, headings carried to what follows."""
+    out: list[tuple[str, str]] = []
+    carried = ""
+    for block in layout_blocks(text):
+        if _heading(block):
+            carried = f"{carried} {block}".strip()
+            continue
+        parts = [s for s in re.split(r"(?<=[.!?])\s+(?=[A-ZÀ-ÖØ-Ý])", block) if s]
+        if len(block.split()) < MAX_WORDS and len(parts) <= MAX_SENTENCES:
+            groups, reason = [[block]], "layout"
+        else:
+            groups, reason = packed_sentences(parts), "size"
+        for g in groups:
+            body = " ".join(g)
+            out.append((f"{carried} {body}".strip(), f"heading|{reason}" if carried else reason))
+            carried = ""
+    if carried:
+        if out and len(out[-1][0].split()) + len(carried.split()) <= MAX_WORDS:
+            out[-1] = (f"{out[-1][0]} {carried}", f"{out[-1][1]}|trailing_heading")
+        else:
+            out.append((carried, "heading_only"))
+    return out
+
+
+def paragraphs(df: DataFrame, text: str, key: str) -> DataFrame:
+    """key, paragraph_id (from 1), paragraph_text, split_reason. A state machine with look-ahead: one pass of Python per document."""
+    kind = dict(df.dtypes)[key]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = [(k, i + 1, p, r) for k, t in zip(f[key], f[text], strict=True) for i, (p, r) in enumerate(paragraphs_of(t or ""))]
+            yield pd.DataFrame(rows, columns=[key, "paragraph_id", "paragraph_text", "split_reason"])
+
+    return df.select(key, text).mapInPandas(run, f"{key} {kind}, paragraph_id int, paragraph_text string, split_reason string")
+
+
+#: Lines that a cleaned body doesn't hold.
+MARKERS = re.compile(r"(?i)^(?:graphic|image|foto|photo|bild|afbeelding)\b.{0,40}$")
+BYLINE = re.compile(r"(?i)^(?:by|door|von|di|da)\s+[A-ZÀ-Ö][\w.'-]+(?:\s+[A-ZÀ-Ö][\w.'-]+){0,3}$")
+CAPTION = re.compile(r"(?i)^(?:foto|photo|bild|credit|copyright|©)\s*[:©]")
+
+
+def clean_lines(text: str) -> tuple[str, dict[str, int]]:
+    """A body without markers, captions, bylines among the first six lines, and quoted lines that recur; and their counts."""
+    lines = [x.strip() for x in text.split("\n")]
+    plain = [re.sub(r"\W+", " ", x.lower()).strip() for x in lines]
+    counts = {"marker": 0, "caption": 0, "byline": 0, "quote": 0}
+    kept, after_marker = [], False
+    for i, line in enumerate(lines):
+        kind = None
+        if MARKERS.match(line):
+            kind = "marker"
+        elif CAPTION.match(line) or (after_marker and 0 < len(line.split()) <= 12 and not line.endswith(".")):
+            kind = "caption"
+        elif i < 6 and BYLINE.match(line):
+            kind = "byline"
+        elif line[:1] in "\"“‘'«" and plain[i] and any(plain[i] in p for j, p in enumerate(plain) if j > i):
+            kind = "quote"
+        after_marker = kind == "marker" or (after_marker and not line)
+        if kind:
+            counts[kind] += 1
+        else:
+            kept.append(line)
+    return "\n".join(kept), counts
