@@ -3,8 +3,8 @@
 1. Each text becomes a set of word shingles (64-bit hashes); texts of equal sets are one class.
 2. 96 multiply-shift universal hashes give a signature; 24 bands of 4 minima give bucket keys.
    A pair of similarity 0.8 shares no band with probability (1 - 0.8^4)^24 = 3e-6.
-3. In each bucket the members are compared with its smallest member only: as many pairs as members.
-   Pairs whose signatures agree in enough places are confirmed on the full sets.
+3. Each text is first compared with the smallest member of its buckets: one pair for each text. Pairs
+   whose signatures agree in enough places are confirmed on the full sets.
 4. Buckets whose members still lie in several components are searched in blocks of bounded size for
    pairs *between* components: twice for each member's best partner by signature, which joins what is
    left of large groups, and then for all that remain, which are tested on full sets inside the block.
@@ -137,14 +137,15 @@ def _best(least: float):
     def run(batches):
         for (_, i, j), t in sorted_groups(batches, ["bucket", "i", "j"]):
             b = Block(t, i, j, least)
-            us, vs = [], []
+            us, vs, how = [], [], []
             for rows, others in b.sides():
                 for a in rows:
                     hit, agree = b.partners(a, others)
                     if len(hit):
                         us.append(b.ids[a])
                         vs.append(b.ids[hit[agree.argmax()]])
-            yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
+                        how.append(agree.max())
+            yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(how, pa.float64())], ["u", "v", "agree"])
 
     return run
 
@@ -246,7 +247,8 @@ def minhash_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     banded = reps.select("id", F.posexplode(keys).alias("band", "bucket"))
     shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("star")).where("n > 1")
     buckets = scratch.cut(banded.join(shared, "bucket"))
-    links = _verified(scratch, docs, reps, buckets.select(F.col("star").alias("u"), F.col("id").alias("v")), k, percent)
+    stars = buckets.where("star <> id").groupBy(F.col("id").alias("v")).agg(F.min("star").alias("u"))
+    links = _verified(scratch, docs, reps, stars, k, percent)
     found = components(scratch, links)
     group = ["bucket", "i", "j"]
     for step in ("best", "best", "all"):
@@ -258,7 +260,8 @@ def minhash_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         placed = placed.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "id", "comp", "block", "band").join(reps.select("id", "sig"), "id")
         placed = placed.select(*group, "id", "comp", "block", "band", "sig").repartition(*group).sortWithinPartitions(*group)
         if step == "best":
-            more = _verified(scratch, docs, reps, placed.mapInArrow(_best(_margin(percent)), "u long, v long"), k, percent)
+            best = placed.mapInArrow(_best(_margin(percent)), "u long, v long, agree double").groupBy("u").agg(F.max_by("v", F.struct("agree", -F.col("v"))).alias("v"))
+            more = _verified(scratch, docs, reps, best, k, percent)
         else:
             left = scratch.cut(placed.mapInArrow(_open(_margin(percent)), GROUP))
             rows = left.join(_full_sets(scratch, docs, reps, left.select("id"), k), "id").repartition(*group).sortWithinPartitions(*group)
