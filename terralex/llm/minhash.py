@@ -25,8 +25,8 @@ from terralex.llm.common import Scratch, WordHashes, components, fixed_width, gr
 
 BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
-#: Rows of one block of a bucket that step 4 compares at once.
-BLOCK = 512
+#: Rows of one block of a bucket that step 4 compares at once, and shingles that the block's sets hold on average at most.
+BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 
 _rng = np.random.default_rng(20240611)
 MULTIPLIERS = _rng.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -242,21 +242,21 @@ def minhash_dedup(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = scratch.cut(docs.mapInArrow(_signed(k), "doc_id long, n_shingles long, digest binary, sig binary"))
     signed, own = one_digest(scratch, signed, "doc_id")
-    reps = scratch.cut(own.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")))
+    reps = scratch.cut(own.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig"), F.first("n_shingles").alias("size")))
     keys = F.expr(f"transform(sequence(0, {BANDS - 1}), b -> xxhash64(b, substring(sig, b * {4 * ROWS} + 1, {4 * ROWS})))")
-    banded = reps.select("id", F.posexplode(keys).alias("band", "bucket"))
-    shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.min("id").alias("star")).where("n > 1")
-    buckets = scratch.cut(banded.join(shared, "bucket"))
+    banded = reps.select("id", "size", F.posexplode(keys).alias("band", "bucket"))
+    shared = banded.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("weight"), F.min("id").alias("star")).where("n > 1")
+    blocks = F.expr(f"greatest((n + {BLOCK - 1}) div {BLOCK}, (weight + {BLOCK_SHINGLES - 1}) div {BLOCK_SHINGLES})")
+    buckets = scratch.cut(banded.join(shared.withColumn("blocks", blocks), "bucket").select("id", "band", "bucket", "star", "blocks"))
     stars = buckets.where("star <> id").groupBy(F.col("id").alias("v")).agg(F.min("star").alias("u"))
     links = _verified(scratch, docs, reps, stars, k, percent)
     found = components(scratch, links)
     group = ["bucket", "i", "j"]
     for step in ("best", "best", "all"):
         # buckets that hold several components: pairs between those
-        placed = buckets.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "band", "id", "n", F.coalesce("root", "id").alias("comp"))
+        placed = buckets.join(found.withColumnRenamed("node", "id"), "id", "left").select("bucket", "band", "id", "blocks", F.coalesce("root", "id").alias("comp"))
         split = placed.groupBy("bucket").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("bucket")
-        placed = placed.join(split, "bucket").withColumn("blocks", F.expr(f"(n + {BLOCK - 1}) div {BLOCK}"))
-        placed = placed.withColumn("block", F.expr("pmod(xxhash64(id), blocks)")).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
+        placed = placed.join(split, "bucket").withColumn("block", F.expr("pmod(xxhash64(id), blocks)")).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
         placed = placed.select("bucket", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "id", "comp", "block", "band").join(reps.select("id", "sig"), "id")
         placed = placed.select(*group, "id", "comp", "block", "band", "sig").repartition(*group).sortWithinPartitions(*group)
         if step == "best":
