@@ -30,6 +30,8 @@ SAMPLE = 8_000
 #: Terms at most, the least share of toxic documents of a term, and terms expected to pass by chance.
 TERMS, PRECISION, CHANCE = 600, 0.75, 0.5
 LEXICONS = 8
+#: What a voter counts at least, however correlated it is.
+LEAST_WEIGHT = 0.4
 THRESHOLD = 0.3
 HEAD = 4
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -184,7 +186,7 @@ def label_model(votes_of: np.ndarray, prior: float, rounds: int = 50) -> tuple[n
             scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
             rho = np.abs(cov / np.outer(scale, scale))
             np.fill_diagonal(rho, 0)
-            weight = 1 / (1 + np.where(rho > 0.1, rho, 0).sum(axis=1))
+            weight = np.maximum(LEAST_WEIGHT, 1 / (1 + np.where(rho > 0.1, rho, 0).sum(axis=1)))
         up, down = np.log(rates[1] / rates[0]), np.log((1 - rates[1]) / (1 - rates[0]))
         z = (np.where(silent, 0, np.where(says, up, down)) * weight).sum(axis=1) + np.log(prior / (1 - prior))
         post = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
