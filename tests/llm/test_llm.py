@@ -2,6 +2,7 @@ import base64
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
@@ -186,8 +187,101 @@ def test_empty_embeddings_and_labels(spark):
     assert toxicity.toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int")).count() == 2
 
 
-def test_pipeline(spark):
+def held(doc_id):
+    return zlib.crc32(str(doc_id).encode()) % 4 == 2
+
+
+def fitted(rows, labels):
+    """The model of all labelled rows (doc_id, text) outside the held-out fold, in plain Python."""
+    first, marked = {}, {}
+    for d, text in rows:
+        if d in labels and not held(d):
+            words = " ".join(toxicity.words_of(text))
+            first[words] = min(d, first.get(words, d))
+            marked[words] = labels[d] or marked.get(words, False)
+    order = sorted(first, key=first.__getitem__)
+    return toxicity.train(order, np.array([marked[w] for w in order], bool))
+
+
+def test_toxicity_equals_plain_python_on_odd_rows(docs, spark):
+    labels = {d: d % 5 == 0 for d in range(1, 70) if d % 7}
+    rows = [(d, int(t)) for d, t in labels.items()]
+    table = spark.createDataFrame([*rows, *rows[:9], (None, 1), (7, None), (999, 1)], "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, table).collect()
+    model = fitted([r for r in pairs(docs) if r[0] is not None], labels)
+    want = sorted((str(d), d is not None and held(d), round(model.score(toxicity.words_of(t)), 6)) for d, t in pairs(docs))
+    assert sorted((str(r["doc_id"]), r["held_out"], round(r["score"], 6)) for r in got) == want
+    assert all(r["predicted"] == (r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in got)
+
+
+def test_toxicity_on_held_out_documents(spark):
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    got = toxicity.toxicity(*(spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))).where("held_out").collect()
+    said = [(r["predicted"], labels[r["doc_id"]]) for r in got if r["doc_id"] in labels]
+    right = said.count((1, 1))
+    assert right >= 0.9 * sum(p for p, _ in said) and right >= 0.6 * sum(t for _, t in said)
+
+
+def test_pipeline_equals_brute_force(spark, monkeypatch):
+    """Each stage against plain Python over the rows that it was given."""
     import corpus_pipeline
 
-    rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
-    assert rows.count() > 0 and "sequence_id" in rows.columns
+    folder, given = "/root/testdata/sf0.001", []
+
+    def watched(stage):
+        def run(spark, docs, sf_dir):
+            given.append((docs.columns, {r["doc_id"]: r["text"] for r in docs.collect()}))
+            return stage(spark, docs, sf_dir)
+
+        return run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, watched(f)) for n, f in corpus_pipeline.STAGES])
+    pieces = corpus_pipeline.run(spark, folder).collect()
+    assert len({tuple(columns) for columns, _ in given}) == 1
+    start, civil, distinct, cleaned, masked = (rows for _, rows in given)
+
+    labels = {r["doc_id"]: bool(r["toxic"]) for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    model = fitted(start.items(), labels)
+    assert civil == {d: t for d, t in start.items() if model.score(toxicity.words_of(t)) < toxicity.THRESHOLD}
+
+    sets = {}
+    for d, t in civil.items():
+        w = (t or "").encode().lower().split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    linked = roots(sets, lambda a, b: bool(sets[a] and sets[b]) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+    assert distinct == {d: t for d, t in civil.items() if linked[d] == d}
+
+    seen = set()
+    for d, t in sorted(distinct.items()):
+        w = (t or "").encode().split()
+        keep = [True] * len(w)
+        for i in range(len(w) - 19):
+            if (k := tuple(w[i : i + 20])) in seen:
+                keep[i : i + 20] = [False] * 20
+            seen.add(k)
+        assert cleaned[d] == (t if all(keep) else b" ".join(x for x, k in zip(w, keep, strict=True) if k).decode())
+
+    counts, base = Counter(), Counter()
+    spans = {}
+    for d, t in cleaned.items():
+        sure = pii.base_spans(t or "")
+        spans[d] = sure, pii.proposed(t or "", sure)
+        for tally, own in zip((base, counts), spans[d], strict=True):
+            tally.update(pii.votes(t or "", s) for s in own)
+    of = pii.fit(counts, base)
+    for d, (sure, more) in spans.items():
+        t = cleaned[d]
+        assert masked[d] == (t and pii.masked(t, pii.in_order([*sure, *(s for s in more if of[pii.votes(t, s)] >= pii.ACCEPT)])))
+        assert not pii.base_spans(masked[d] or "")
+
+    tokenizer, parts = Tokenizer.from_file(P.path("byte_bpe_50k.json")), {}
+    for r in pieces:
+        parts.setdefault(r["doc_id"], []).append(r)
+    assert set(parts) == set(masked)
+    for d, own in parts.items():
+        ids, at = [*tokenizer.encode(masked[d] or "", add_special_tokens=False).ids, 0], 0
+        for r in sorted(own, key=lambda r: r["start"]):
+            assert r["start"] == at and r["doc_tokens"] == len(ids)
+            at += r["length"]
+            assert zlib.crc32(np.array(ids[r["start"] : at], "<u4").tobytes()) == r["ids_crc32"]
+        assert at == len(ids)
