@@ -43,6 +43,53 @@ def extremes(regions: DataFrame, keys: list[str], tail: int = 3) -> DataFrame:
     return out.select(*keys, "balance", "n_units", "role", F.when(F.col("role") == "low", F.col("lo")).otherwise(F.col("hi")).cast("int").alias("rank"))
 
 
+def extreme_pair(regions: DataFrame, keys: list[str]) -> DataFrame:
+    """The region of the lowest balance and, among the others, that of the highest; none if there is no second."""
+    pair = extremes(regions, keys, tail=1)
+    return pair.withColumn("n", F.count("*").over(Window.partitionBy())).where("n = 2").drop("n", "rank")
+
+
+def rows_of_extremes(df: DataFrame, chosen: DataFrame, keys: list[str], uid: str) -> DataFrame:
+    """Rows of the chosen regions (those of `extremes`: six at most), each uid once in a region, with role and rank."""
+    own = df.join(F.broadcast(chosen.select(*keys, "role", "rank")), keys)
+    return own.dropDuplicates([*keys, uid])
+
+
+def dense_balances(df: DataFrame, chosen: DataFrame, keys: list[str], item: str, items: list[str]) -> DataFrame:
+    """Balances of each item in each chosen region, with counts of 0 and a null balance for absent items."""
+    frame = chosen.select(*keys, F.explode(F.array(*(F.lit(i) for i in items))).alias(item))
+    found = balances(df.join(F.broadcast(chosen.select(*keys)), keys, "left_semi"), [*keys, item])
+    out = frame.join(found, [*keys, item], "left")
+    return out.na.fill(0, ["n_neg", "n_neu", "n_pos", "n_units"])
+
+
+def with_overall(df: DataFrame, item: str, rows: DataFrame, overall: str = "All sentences") -> DataFrame:
+    """Balances of rows by item, and one row over all of df."""
+    whole = balances(df.withColumn(item, F.lit(overall)), [item])
+    return balances(rows, [item]).unionByName(whole)
+
+
+def keyword_distribution(triples: DataFrame, keys: list[str]) -> DataFrame:
+    """Sentiment counts side by side for each (frame, keyword), ordered by total, positive, neutral, negative; index from 1 in a frame."""
+    wide = balances(triples, keys).select(*keys, "n_neg", "n_neu", "n_pos", F.col("n_units").alias("total"))
+    w = Window.partitionBy(keys[0]).orderBy(F.desc("total"), F.desc("n_pos"), F.desc("n_neu"), F.desc("n_neg"), *keys[1:])
+    return wide.withColumn("index", F.row_number().over(w))
+
+
+def polar_items(df: DataFrame, item: str, least: int = MIN_MENTIONS, tail: int = 15) -> DataFrame:
+    """Of items with enough mentions, those of the highest and of the lowest balance; an item may be in both lists."""
+    found = balances(df, [item]).where(F.col("n_units") >= least)
+    ends = [("top", F.desc("balance")), ("bottom", F.col("balance"))]
+    top, bottom = (top_per_group(found, [], [order, F.desc("n_units"), item], tail).withColumn("end", F.lit(end)) for end, order in ends)
+    return top.unionByName(bottom)
+
+
+def units_per_document(df: DataFrame, document: str) -> DataFrame:
+    """Documents, units, mean units of a document, and the share of documents with several."""
+    n = df.groupBy(document).agg(F.count("*").alias("n"))
+    return n.agg(F.count("*").alias("n_documents"), F.sum("n").alias("n_units"), F.avg("n").alias("mean_units"), share(F.count(F.when(F.col("n") > 1, 1)), F.count("*")).alias("pct_multiple"))
+
+
 def mentions(df: DataFrame, keys: list[str], listed: str, item: str = "frame") -> DataFrame:
     """One row for each item of an array column; rows without items go."""
     return df.select("*", F.explode(listed).alias(item)).groupBy(*keys, item).agg(F.count("*").alias("mentions"))

@@ -170,13 +170,17 @@ def _pair_with(frame: str):
 
 @query(f"with {_FRAMED}, k as (select u.doc_id, sentiment, frame, w keyword from units u join words using (doc_id) join vocab using (w)) select frame, keyword, sentiment, count(*) n from k group by all")
 def a16_frame_keyword_sentiment(spark, sf):
+    return _keyworded(spark, sf).groupBy("frame", "keyword", "sentiment").agg(F.count("*").alias("n"))
+
+
+def _keyworded(spark, sf):
+    """doc_id, sentiment, frame, keyword: each keyword of a frame once for each unit that holds it."""
     rows = None
     for frame, words in FRAMES.items():
         hits = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(T.any_word(words)), 1))
         one = F.transform(hits, _pair_with(frame))
         rows = one if rows is None else F.concat(rows, one)
-    k = units(spark, sf).select("sentiment", F.explode(rows).alias("k"))
-    return k.groupBy("k.frame", "k.keyword", "sentiment").agg(F.count("*").alias("n"))
+    return units(spark, sf).select("doc_id", "sentiment", F.explode(rows).alias("k")).select("doc_id", "sentiment", "k.frame", "k.keyword")
 
 
 # ---- sentiment tables
@@ -237,6 +241,82 @@ def a15_frame_matrix(spark, sf):
     return p.select("source", F.col("Costs").cast("long").alias("costs"), F.col("Infrastructure").cast("long").alias("infrastructure"))
 
 
+_EXTREMES = """lo as (select *, row_number() over (order by balance, n_units desc, lang, source) lo, count(*) over () n from regions2),
+ro as (select *, case when lo <= least({tail}, ceil(n / 2.0)) then 'low' end r0 from lo),
+hi as (select *, row_number() over (partition by r0 is null order by balance desc, n_units desc, lang, source) hi from ro),
+ext as (select lang, source, balance, n_units, coalesce(r0, 'high') role, (case when r0 = 'low' then lo else hi end)::int as rank from hi where r0 is not null or hi <= {tail})"""
+_CHOSEN = f"with {_FRAMED}, {_REGIONS}, {_EXTREMES.format(tail=3)}"
+
+
+def _regions(spark, sf):
+    return rounded(A.balances(units(spark, sf), ["lang", "source"]).where(F.col("n_units") >= MIN_UNITS))
+
+
+def _mentioned(spark, sf):
+    return framed(spark, sf).withColumn("frame", F.explode("frames"))
+
+
+@query(f"{_CHOSEN}, d as (select lang, source, frame from ext cross join (select distinct frame from vocab)), b as (select lang, source, frame, {_BAL} from framed group by all), m as (select lang, source, frame, {_MORE} from b) select d.lang, d.source, d.frame, coalesce(n_neg, 0)::bigint n_neg, coalesce(n_neu, 0)::bigint n_neu, coalesce(n_pos, 0)::bigint n_pos, coalesce(n_units, 0)::bigint n_units, pct_neg, pct_pos, balance from d left join m using (lang, source, frame)")
+def a6_extreme_frame_balance(spark, sf):
+    return rounded(A.dense_balances(_mentioned(spark, sf), A.extremes(_regions(spark, sf), ["lang", "source"]), ["lang", "source"], "frame", list(FRAMES)))
+
+
+@query(f"{_CHOSEN} select distinct role, rank, lang, source, doc_id, sentiment from framed join ext using (lang, source)")
+def a8_extreme_sentences(spark, sf):
+    chosen = A.extremes(_regions(spark, sf), ["lang", "source"])
+    return A.rows_of_extremes(framed(spark, sf).where("size(frames) > 0"), chosen, ["lang", "source"], "doc_id").select("role", "rank", "lang", "source", "doc_id", "sentiment")
+
+
+@query(f"with {_FRAMED}, c as (select source, frame, count(*) m from framed group by all), d as (select source, frame, coalesce(m, 0)::bigint mentions from (select distinct source from c) cross join (values ('Costs'), ('Infrastructure')) v(frame) left join c using (source, frame)) select source, frame, mentions, coalesce(round(100.0 * mentions / nullif(sum(mentions) over (partition by source), 0), 6), 0) as share from d")
+def a10_composition(spark, sf):
+    """Shares renormalised to the frames shown."""
+    return rounded(A.dense_shares(A.mentions(framed(spark, sf), ["source"], "frames"), "source", "frame", ["Costs", "Infrastructure"]))
+
+
+@query(f"with {_FRAMED}, {_REGIONS} select lang, source, frame, count(*) mentions from framed semi join regions using (lang, source) group by all")
+def a13_region_frames(spark, sf):
+    eligible = _regions(spark, sf).select("lang", "source")
+    return A.mentions(framed(spark, sf).join(eligible, ["lang", "source"], "left_semi"), ["lang", "source"], "frames")
+
+
+@query(f"with {_UNITS}, {_REGIONS}, {_EXTREMES.format(tail=1)} select lang, source, balance, n_units, role from ext where (select count(*) from ext) = 2")
+def a14_extreme_pair(spark, sf):
+    return A.extreme_pair(_regions(spark, sf), ["lang", "source"])
+
+
+@query(f"with {_FRAMED}, k as (select frame, w keyword, {_BAL} from units join words using (doc_id) join vocab using (w) group by all) select frame, keyword, n_neg, n_neu, n_pos, n_units total, (row_number() over (partition by frame order by n_units desc, n_pos desc, n_neu desc, n_neg desc, keyword))::int as index from k")
+def a17_keyword_distribution(spark, sf):
+    return A.keyword_distribution(_keyworded(spark, sf), ["frame", "keyword"])
+
+
+@query(f"with {_FRAMED}, a as (select frame, sentiment from framed union all select 'All sentences', sentiment from units), b as (select frame, {_BAL} from a group by all) select frame, {_MORE} from b")
+def a18_category_distribution(spark, sf):
+    return rounded(A.with_overall(units(spark, sf), "frame", _mentioned(spark, sf)))
+
+
+@query("select lang, source, count(*) n from documents group by all")
+def a29_value_counts(spark, sf):
+    return table(spark, sf, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+
+
+@query("with t as (select conv_id, count(*) n from conversations group by all) select count(*) n_documents, sum(n)::bigint n_units, round(avg(n), 6) mean_units, round(100.0 * count(*) filter (where n > 1) / count(*), 6) pct_multiple from t")
+def a30_units_per_document(spark, sf):
+    return rounded(A.units_per_document(table(spark, sf, "conversations"), "conv_id"))
+
+
+@query(f"with {_FRAMED}, k as (select w keyword, {_BAL} from units join words using (doc_id) where w in (select w from vocab) group by all having count(*) >= 5), m as (select keyword, {_MORE} from k), t as (select *, 'top' as \"end\", (row_number() over (order by 100.0*n_pos/n_units - 100.0*n_neg/n_units desc, n_units desc, keyword))::int as rank from m union all select *, 'bottom', (row_number() over (order by 100.0*n_pos/n_units - 100.0*n_neg/n_units, n_units desc, keyword))::int from m) select * from t where rank <= 15")
+def a33_polar_keywords(spark, sf):
+    return rounded(A.polar_items(_keyworded(spark, sf).select("doc_id", "sentiment", "keyword").distinct(), "keyword", least=5))
+
+
+@query(f"with {_FRAMED}, n as (select frame, count(*) whole from framed group by all), k as (select frame, w keyword, count(distinct doc_id) n from words join units using (doc_id) join vocab using (w) group by all), r as (select frame, keyword, n, round(100.0 * n / whole, 6) as share, (row_number() over (partition by frame order by n desc, keyword))::int as rank from k join n using (frame)) select * from r where rank <= 10")
+def a35_category_keywords(spark, sf):
+    whole = A.mentions(framed(spark, sf), [], "frames").withColumnRenamed("mentions", "whole")
+    n = _keyworded(spark, sf).groupBy("frame", "keyword").agg(F.countDistinct("doc_id").alias("n"))
+    shares = n.join(F.broadcast(whole), "frame").select("frame", "keyword", "n", A.share(F.col("n"), F.col("whole")).alias("share"))  # a row per frame
+    return rounded(A.top_per_group(shares, ["frame"], [F.desc("n"), "keyword"], 10))
+
+
 @query("select year(o_orderdate)::int as year, count(*) n from orders group by all")
 def a22_per_year(spark, sf):
     return table(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"))
