@@ -134,3 +134,33 @@ def smoothed(df: DataFrame, time: str, value: str, width: int = 10) -> DataFrame
     """Centred rolling mean over width rows; null where the window isn't full."""
     w = Window.orderBy(time).rowsBetween(-(width // 2), width - width // 2 - 1)
     return df.withColumn("smooth", F.when(F.count("*").over(w) == width, F.avg(value).over(w)))
+
+
+def scored_areas(areas: DataFrame, scores: DataFrame, key: str, min_units: int = MIN_UNITS) -> DataFrame:
+    """Every area with its units and balance, 0 where it has none, and whether its units are enough to show."""
+    out = areas.join(scores.select(key, "n_units", "balance"), key, "left").na.fill(0, ["n_units", "balance"])
+    return out.withColumn("has_enough_data", F.col("n_units") >= min_units)
+
+
+def first_wins(parts: list[DataFrame], keys: list[str], order: list) -> DataFrame:
+    """Rows of all parts by name, one for each key: of the earliest part, there the first by order."""
+    out = None
+    for i, part in enumerate(parts):
+        one = part.withColumn("part", F.lit(i))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return keep_first(out, keys, ["part", *order]).drop("part")
+
+
+def document_table(df: DataFrame, region: str, document: str, overall: str = "All") -> DataFrame:
+    """Units, distinct documents and units per document of each region, numbered with the row over all first."""
+    n = [F.count("*").alias("n_units"), F.countDistinct(document).alias("n_documents")]
+    rows = df.where(F.col(region).isNotNull()).groupBy(region).agg(*n).withColumn("is_region", F.lit(1))
+    rows = rows.unionByName(df.agg(*n).select(F.lit(overall).alias(region), "n_units", "n_documents", F.lit(0).alias("is_region")))
+    rows = rows.withColumn("units_per_document", F.try_divide(F.col("n_units"), F.col("n_documents")))
+    return rows.withColumn("position", F.row_number().over(Window.orderBy("is_region", F.desc("n_units"), region))).drop("is_region")  # a row per region
+
+
+def unwrapped(df: DataFrame, keys: list[str], value: str, several: str) -> DataFrame:
+    """Per key the one value it has, `several` if there are more, null if there is none; sets are never gathered."""
+    low, high = F.min(value), F.max(value)
+    return df.groupBy(*keys).agg(F.when(low == high, low).when(low < high, F.lit(several)).alias(value))

@@ -91,3 +91,21 @@ def bucket(key: str, n: int = 100):
 def judgement_groups(df: DataFrame, key: str, decision: str, updated: str) -> DataFrame:
     """key, decision (latest), n, conflict, complete of the judgements of each unique name."""
     return df.groupBy(key).agg(F.count("*").alias("n"), F.max_by(decision, F.struct(updated, decision)).alias("decision"), (F.countDistinct(decision) > 1).alias("conflict"), F.every(F.col(decision).isNotNull()).alias("complete"))
+
+
+def gold_problems(gold: DataFrame, manifest: DataFrame, key: str, label: str, labels: list) -> DataFrame:
+    """key and problem of annotations that break the rules: repeated, unexpected or missing keys, labels outside the domain."""
+    n = gold.groupBy(key).agg(F.count("*").alias("n"), F.max((~F.coalesce(F.col(label).isin(labels), F.lit(False))).cast("int")).alias("odd"))
+    both = n.join(manifest.select(key).distinct().withColumn("listed", F.lit(True)), key, "full_outer")
+    found = {"repeated": F.col("n") > 1, "unexpected": F.col("listed").isNull(), "missing": F.col("n").isNull(), "label": F.col("odd") == 1}
+    problems = F.array_compact(F.array(*(F.when(c, F.lit(name)) for name, c in found.items())))
+    return both.select(key, F.explode(problems).alias("problem"))
+
+
+def refreshed_queue(queue: DataFrame, fresh: DataFrame, key: str, label: str) -> DataFrame:
+    """Annotated rows of the queue as they are, then the fresh rows of other keys; rows without a label go unless they are fresh. state: kept, refreshed or added."""
+    kept = queue.where(F.col(label).isNotNull())
+    waiting = queue.where(F.col(label).isNull()).select(key).distinct().withColumn("waited", F.lit(True))
+    new = fresh.join(kept.select(key), key, "left_anti").join(waiting, key, "left")
+    new = new.withColumn("state", F.when(F.col("waited"), "refreshed").otherwise("added")).drop("waited")
+    return kept.withColumn("state", F.lit("kept")).unionByName(new, allowMissingColumns=True)

@@ -317,6 +317,48 @@ def a35_category_keywords(spark, sf):
     return rounded(A.top_per_group(shares, ["frame"], [F.desc("n"), "keyword"], 10))
 
 
+@query(f"with {_UNITS}, s as (select source, {_BAL} from units group by all), m as (select source, {_MORE} from s) select source, coalesce(n_units, 0)::bigint n_units, coalesce(balance, 0) balance, coalesce(n_units, 0) >= 20 has_enough_data from (select distinct source from documents) left join m using (source)")
+def a20_scored_areas(spark, sf):
+    areas = table(spark, sf, "documents").select("source").distinct()
+    return rounded(A.scored_areas(areas, A.balances(units(spark, sf), ["source"]), "source", min_units=20))
+
+
+@query("with u as (select source, doc_id, lang, case lang when 'fr' then 0 when 'de' then 1 else 2 end part from documents where lang in ('fr', 'de', 'en')), r as (select *, row_number() over (partition by source order by part, doc_id) r from u) select source, doc_id, lang from r where r = 1")
+def a27_first_candidates(spark, sf):
+    d = table(spark, sf, "documents").select("source", "doc_id", "lang")
+    return A.first_wins([d.where(F.col("lang") == lang) for lang in ("fr", "de", "en")], ["source"], ["doc_id"])
+
+
+@query("with l as (select l_returnflag || l_linestatus region, l_orderkey k from lineitem), r as (select region, 1 is_region, k from l union all select 'All', 0, k from l), n as (select region, is_region, count(*) n_units, count(distinct k) n_documents from r where region is not null group by all) select region, n_units, n_documents, round(n_units / n_documents, 6) units_per_document, (row_number() over (order by is_region, n_units desc, region))::int as position from n")
+def a32_document_table(spark, sf):
+    lines = table(spark, sf, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("region"), "l_orderkey")
+    return rounded(A.document_table(lines, "region", "l_orderkey"))
+
+
+@query("select sha256(text) body_hash, case when min(source) = max(source) then min(source) when min(source) < max(source) then 'National' end source from documents where text is not null group by all")
+def a37_unwrapped_sources(spark, sf):
+    bodies = table(spark, sf, "documents").where("text is not null").select(F.sha2("text", 256).alias("body_hash"), "source")
+    return A.unwrapped(bodies, ["body_hash"], "source", "National")
+
+
+@query("""with g as (select doc_id, quality from labels union all select doc_id, 2 from labels where doc_id % 10 = 0 union all select -1, 0), m as (select doc_id from documents where lang <> 'fr'),
+n as (select doc_id, count(*) n, bool_or(coalesce(quality not in (0, 1), true)) odd from g group by all), b as (select coalesce(n.doc_id, m.doc_id) doc_id, n, odd, m.doc_id is not null listed from n full join m on n.doc_id = m.doc_id)
+select doc_id, 'repeated' problem from b where n > 1 union all select doc_id, 'unexpected' from b where not listed union all select doc_id, 'missing' from b where n is null union all select doc_id, 'label' from b where odd""")
+def e8_gold_problems(spark, sf):
+    labels = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("int").alias("quality"))
+    extra = labels.where("doc_id % 10 = 0").withColumn("quality", F.lit(2)).union(spark.range(1).select(F.lit(-1).cast("long"), F.lit(0)))
+    return E.gold_problems(labels.union(extra), table(spark, sf, "documents").where("lang <> 'fr'"), "doc_id", "quality", [0, 1])
+
+
+@query("""with q as (select c_custkey uid, case when c_acctbal > 0 then c_mktsegment end label from customer where c_nationkey < 15), f as (select c_custkey uid from customer where c_nationkey >= 10)
+select uid, label, 'kept' state from q where label is not null union all
+select f.uid, null, case when w.uid is null then 'added' else 'refreshed' end from f left join (select uid from q where label is null) w on f.uid = w.uid where f.uid not in (select uid from q where label is not null)""")
+def u5_refreshed_queue(spark, sf):
+    c = table(spark, sf, "customer").withColumnRenamed("c_custkey", "uid")
+    queue = c.where("c_nationkey < 15").select("uid", F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("label"))
+    return E.refreshed_queue(queue, c.where("c_nationkey >= 10").select("uid"), "uid", "label").select("uid", "label", "state")
+
+
 @query("select year(o_orderdate)::int as year, count(*) n from orders group by all")
 def a22_per_year(spark, sf):
     return table(spark, sf, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"))
