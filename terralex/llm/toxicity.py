@@ -1,9 +1,11 @@
 """Toxicity by weak supervision.
 
 1. From a bounded sample of labelled documents, terms (words, and word beginnings of 4 to 6 letters) are
-   mined that documents marked toxic hold far more often than chance allows.
+   mined that documents marked toxic hold, or hold densely (as a share of their words), far more often
+   than chance allows.
 2. The terms form lexicon voters, by strength and by a hash; pattern voters look at the number, the
-   density and the repetition of hits. Each voter says toxic or clean, or abstains.
+   density and the repetition of hits. Terms that clean documents hold too, but far less than their share,
+   form weak voters of their own. Each voter says toxic or clean, or abstains.
 3. A generative label model estimates, by expectation-maximisation, each voter's accuracy on either
    class, anchored on the sample's share of toxic documents. Correlations that remain between two
    voters given the class are estimated too, and each voter counts the less the more it is correlated.
@@ -29,7 +31,12 @@ from terralex.llm.common import WordHashes, gram_hashes, mixed
 SAMPLE = 8_000
 #: Terms at most, the least share of toxic documents of a term, and terms expected to pass by chance.
 TERMS, PRECISION, CHANCE = 600, 0.75, 0.5
-LEXICONS = 8
+#: A weak term's share of toxic documents is so many times that of all documents at least.
+LIFT = 4
+#: A text holds a term densely if so many of its words do, at least twice; the term is then marked by DENSE as well.
+SHARE, DENSE = 0.01, "%"
+#: Voters of terms, and those of them that hold weak terms, which come last.
+LEXICONS, WEAK = 12, 4
 #: What a voter counts at least, however correlated it is.
 LEAST_WEIGHT = 0.4
 THRESHOLD = 0.3
@@ -41,14 +48,20 @@ def words_of(text: str | None) -> list[str]:
     return LETTERS.findall((text or "").lower())
 
 
+def dense(times: int, words: int) -> bool:
+    return times >= 2 and times >= SHARE * words
+
+
 def terms_of(words: list[str]) -> set[str]:
-    """A text's words as they are, and their beginnings marked by a star."""
-    out = set()
-    for w in set(words):
+    """A text's words as they are, and their beginnings marked by a star; those it holds densely marked by DENSE as well."""
+    times: Counter = Counter()
+    for w, n in Counter(words).items():
         if len(w) >= HEAD - 1:
-            out.add(w)
-            out.update(w[:k] + "*" for k in (4, 5, 6) if len(w) > k)
-    return out
+            times[w] += n
+            for k in (4, 5, 6):
+                if len(w) > k:
+                    times[w[:k] + "*"] += n
+    return {*times, *(t + DENSE for t, n in times.items() if dense(n, len(words)))}
 
 
 def _h(x: str) -> int:
@@ -70,16 +83,19 @@ class Model:
         self.heads = {t[:3] for t in self.lexicon}
 
     def hits(self, words: list[str]) -> tuple[set[str], int]:
-        """Lexicon terms in a text, and how many of its words hold one."""
-        found, n = set(), 0
+        """Lexicon terms in a text, and how many of its words hold one that isn't weak."""
+        held: list[list[str]] = []
         lexicon, heads = self.lexicon, self.heads
         for w in words:
             if w[:3] in heads:
-                own = [t for t in (w, w[:4] + "*", w[:5] + "*", w[:6] + "*") if t in lexicon and (t == w or len(w) >= len(t))]
+                own = [t for t in (w, w[:4] + "*", w[:5] + "*", w[:6] + "*") if (t in lexicon or t + DENSE in lexicon) and (t == w or len(w) >= len(t))]
                 if own:
-                    found.update(own)
-                    n += 1
-        return found, n
+                    held.append(own)
+        times = Counter(t for own in held for t in own)
+        found = {t for t in times if t in lexicon}
+        found.update(t + DENSE for t, n in times.items() if t + DENSE in lexicon and dense(n, len(words)))
+        strong = {t for t in found if lexicon[t] < LEXICONS - WEAK}
+        return found, sum(any(t in strong or t + DENSE in strong for t in own) for own in held)
 
     def score(self, words: list[str]) -> float:
         found, n = self.hits(words)
@@ -91,13 +107,14 @@ class Model:
 
 def votes(found: set[str], n: int, words: int, lexicon: dict[str, int]) -> list[int]:
     """1 toxic, -1 clean, 0 abstains: lexicon voters, then patterns."""
-    in_list = [0] * LEXICONS
+    in_list, strong = [0] * LEXICONS, 0
     for t in found:
         in_list[lexicon[t]] = 1
+        strong += lexicon[t] < LEXICONS - WEAK
     out = [1 if x else (-1 if words else 0) for x in in_list]
     out.append(1 if n >= 2 else -1 if n == 0 else 0)  # several words
     out.append(1 if n and n / words >= 0.01 else -1 if n / max(words, 1) < 0.002 else 0)  # density
-    out.append(1 if len(found) >= 2 else -1 if not found else 0)  # variety
+    out.append(1 if strong >= 2 else -1 if not strong else 0)  # variety
     out.append(-1 if words >= 5 and not n else 0)  # a text of some length without any
     return out
 
@@ -124,10 +141,11 @@ def copies(texts: list[str]) -> np.ndarray:
 
 
 def mine(texts: list[str], toxic: np.ndarray) -> dict[str, int]:
-    """Terms with the voter each belongs to: strength in two classes, by a hash within them.
+    """Terms with the voter each belongs to: strength in two classes and the weak ones, by a hash within them.
 
     Near copies count once. A term stands out if, of all terms in as many toxic texts or more, less
-    than CHANCE are expected to be this unevenly spread (by the G-test's bound on the tail).
+    than CHANCE are expected to be this unevenly spread (by the G-test's bound on the tail). Terms held
+    densely are counted apart from terms held at all, and terms held by the same texts as one.
     """
     members: dict[int, list[int]] = {}
     for i, g in enumerate(copies(texts)):
@@ -142,38 +160,47 @@ def mine(texts: list[str], toxic: np.ndarray) -> dict[str, int]:
         return set().union(*(terms_of(texts[i].split()) for i in own))
 
     in_toxic: Counter = Counter()
+    holders: Counter = Counter()  # a sum of hashes tells by which toxic texts a term is held
     for g, own in members.items():
         if marked[g]:
-            in_toxic.update(terms(own))
-    in_clean = {t: 0 for t, n in in_toxic.items() if n >= 3}
-    as_many, total = {}, 0
-    spread = Counter(in_toxic.values())
-    for n in sorted(spread, reverse=True):
-        total += spread[n]
-        as_many[n] = total
+            now = terms(own)
+            in_toxic.update(now)
+            h = xxhash.xxh64_intdigest(str(g))
+            for t in now:
+                holders[t] += h
+    in_clean = {t: 0 for t, n in in_toxic.items() if n >= (2 if t.endswith(DENSE) else 3)}
+    as_many = {}
+    for kind in (True, False):
+        spread = Counter(n for n, _ in {(in_toxic[t], holders[t]) for t in in_toxic if t.endswith(DENSE) == kind})
+        total = 0
+        for n in sorted(spread, reverse=True):
+            total += spread[n]
+            as_many[kind, n] = total
     for g, own in members.items():
         if not marked[g]:
             for t in terms(own):
                 if t in in_clean:
                     in_clean[t] += 1
-    scored = []
+    scored, weak = [], []
     for term, b in in_clean.items():
         a = in_toxic[term]
-        if a < PRECISION * (a + b):
+        if a < min(PRECISION, LIFT * n1 / (n1 + n0)) * (a + b):
             continue
         e1, e0 = (a + b) * n1 / (n1 + n0), (a + b) * n0 / (n1 + n0)
         g = 2 * (a * np.log(a / e1) + (b * np.log(b / e0) if b else 0))
-        if as_many[a] * np.exp(-g / 2) < CHANCE:
-            scored.append((-g, term))
+        if as_many[term.endswith(DENSE), a] * np.exp(-g / 2) < CHANCE:
+            (scored if a >= PRECISION * (a + b) else weak).append((-g, term))
     best = [t for _, t in sorted(scored)[:TERMS]]
-    half = LEXICONS // 2
-    return {t: (0 if i < len(best) / 2 else half) + _h(t) % half for i, t in enumerate(best)}
+    half = (LEXICONS - WEAK) // 2
+    strong = {t: (0 if i < len(best) / 2 else half) + _h(t) % half for i, t in enumerate(best)}
+    return strong | {t: LEXICONS - WEAK + _h(t) % WEAK for _, t in sorted(weak)[:TERMS]}
 
 
 def label_model(votes_of: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of toxic for each row of votes, and each voter's chance to vote toxic on (clean, toxic)."""
     says, silent = votes_of > 0, votes_of == 0
-    post = np.where(says.any(axis=1), 0.9, prior / 4)
+    sure = np.delete(says, np.s_[LEXICONS - WEAK : LEXICONS], axis=1)
+    post = np.where(sure.any(axis=1), 0.9, prior / 4)
     weight = np.ones(votes_of.shape[1])
     rates = np.full((2, votes_of.shape[1]), 0.5)
     for i in range(rounds):

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
@@ -222,6 +223,30 @@ def test_toxicity_on_held_out_documents(spark):
     assert right >= 0.9 * sum(p for p, _ in said) and right >= 0.6 * sum(t for _, t in said)
 
 
+def test_toxicity_finds_terms_that_clean_documents_hold_once():
+    random.seed(2)
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(200)]
+    texts, toxic = [], []
+    for i in range(600):
+        w = random.choices(words, k=100)
+        w[:4] = [f"zorbel{random.choice(words)}" for _ in range(4)] if i % 10 == 0 else w[:4]
+        w[50] = "zorbelend" if i % 10 in (1, 2) else w[50]
+        texts.append(" ".join(w))
+        toxic.append(i % 10 == 0)
+    m = toxicity.train(texts, np.array(toxic))
+    said = [m.score(t.split()) >= toxicity.THRESHOLD for t in texts]
+    assert said == toxic
+
+
+def test_toxicity_in_other_languages():
+    rows = pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    labels = {r["doc_id"]: bool(r["toxic"]) for r in pq.read_table("/root/testdata/sf0.1/labels.parquet").to_pylist()}
+    model = fitted([(r["doc_id"], r["text"]) for r in rows], labels)
+    said = [(model.score(toxicity.words_of(r["text"])) >= toxicity.THRESHOLD, labels[r["doc_id"]]) for r in rows if r["doc_id"] in labels and held(r["doc_id"])]
+    right = said.count((True, True))
+    assert right >= 0.9 * sum(p for p, _ in said) and right >= 0.93 * sum(t for _, t in said)
+
+
 def test_pipeline_equals_brute_force(spark, monkeypatch):
     """Each stage against plain Python over the rows that it was given."""
     import corpus_pipeline
