@@ -1,9 +1,10 @@
 """Winnowing fingerprints by DataFrame functions only.
 
-Grams are runs of K words. A gram's hash is the polynomial of its words' hashes modulo a prime. Of each
-W consecutive grams the least hash is chosen, the rightmost one on ties, with its place. So any run of
-W + K - 1 words that two texts share leaves a common fingerprint in both (the match guarantee), and no
-shared run of fewer than K words does. A text of fewer than K words is one gram, one without words none.
+Grams are runs of K characters (code points). A gram's hash is the polynomial of its code points modulo a
+prime, built up from those of its parts. Of each W consecutive grams the least hash is chosen, the rightmost
+one on ties, with its place. So any run of W + K - 1 characters that two texts share leaves a common
+fingerprint in both (the match guarantee), and no shared run of fewer than K does. A text of fewer than K
+characters is one gram, an empty one has none.
 """
 
 from __future__ import annotations
@@ -14,12 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-K, W = 5, 6
+K, W = 12, 12
+#: Characters of the shortest text that has a whole window.
+LEAST = W + K - 1
 PRIME = 2**31 - 1
 BASE = 1_000_003
-#: Word hashes have so many bits that K products of one with a power of BASE modulo PRIME add up to less than 2^63.
-WORD_BITS = 28
-SPACE = " \t\n\x0b\f\r"
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -27,35 +27,68 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def runs(parts: Column, more: Column, shift: int, join: Callable[[Column, Column], Column]) -> Column:
+    """join(parts[i], more[i + shift]) for each i that has both."""
+    return F.transform(F.slice(more, shift + 1, F.size(more) - shift), lambda y, i: join(F.get(parts, i), y))
+
+
 def fingerprint(text: Column) -> Column:
     """array<bigint> of chosen grams in order: hash * 2^32 + (2^32 - 1 - place), so that less is a lesser hash, then a greater place."""
-    words = F.split(F.trim(text, F.lit(SPACE)), "[\\x20\\x09-\\x0D]+")
-    hashes = F.transform(words, lambda w: F.xxhash64(w).bitwiseAND(F.lit(2**WORD_BITS - 1)))
-    powers = [pow(BASE, K - 1 - j, PRIME) for j in range(K)]
+    codes = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long"))
 
-    def grams(h: Column) -> Column:
-        n = F.size(h)
+    def joined(parts: Column, more: Column, shift: int) -> Column:
+        return runs(parts, more, shift, lambda x, y: (x * F.lit(pow(BASE, shift, PRIME)) + y) % F.lit(PRIME))
 
-        def gram(i: Column) -> Column:
-            terms = [F.get(h, i + j) * F.lit(p) for j, p in enumerate(powers)]
-            total = terms[0]
-            for t in terms[1:]:
-                total = total + t
-            return (total % F.lit(PRIME)) * F.lit(2**32) + (F.lit(2**32 - 1) - i.cast("long"))
-
-        short = F.aggregate(h, F.lit(0).cast("long"), lambda a, x: (a * F.lit(BASE) + x) % F.lit(PRIME))
-        return F.when(n >= K, F.transform(F.sequence(F.lit(0), n - K), gram)).otherwise(F.array(short * F.lit(2**32) + F.lit(2**32 - 1)))
+    def grams(c: Column) -> Column:
+        four = let(joined(c, c, 1), lambda h: joined(h, h, 2))
+        hashes = let(four, lambda h: let(joined(h, h, 4), lambda e: runs(e, h, 8, lambda x, y: (x * F.lit(pow(BASE, 4, PRIME)) + y) % F.lit(PRIME))))
+        short = F.aggregate(c, F.lit(0).cast("long"), lambda a, x: (a * F.lit(BASE) + x) % F.lit(PRIME))
+        placed = lambda h, i: h * F.lit(2**32) + (F.lit(2**32 - 1) - i.cast("long"))
+        return F.transform(F.when(F.size(c) >= K, hashes).otherwise(F.array(short)), placed)
 
     def chosen(g: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(g) - W + 1, F.lit(1))), lambda i: F.array_min(F.slice(g, i, W))))
+        eight = let(let(runs(g, g, 1, F.least), lambda m: runs(m, m, 2, F.least)), lambda m: runs(m, m, 4, F.least))
+        return F.when(F.size(g) < W, F.array(F.array_min(g))).otherwise(F.array_distinct(let(eight, lambda m: runs(m, m, W - 8, F.least))))
+
+    return F.when(F.length(text) == 0, F.array().cast("array<bigint>")).otherwise(let(let(codes, grams), chosen))
+
+
+def place(gram: Column) -> Column:
+    return F.lit(2**32 - 1) - gram.bitwiseAND(F.lit(2**32 - 1))
+
+
+def head_of(chosen: Column, chars: Column) -> Column:
+    """Those of a text's chosen grams that windows within its first `chars` characters choose.
 
-    empty = F.length(F.trim(text, F.lit(SPACE))) == 0
-    return F.when(empty, F.array().cast("array<bigint>")).otherwise(let(let(hashes, grams), chosen))
+    A gram is first chosen by the window that it enters last in, or, if it is not less than the gram
+    chosen before, by the window after that one's place.
+    """
+
+    def early(own: Column, n: Column, x: Column, i: Column) -> Column:
+        last = F.get(own, i - 1)
+        first = F.when(i == 0, F.lit(0)).when(F.shiftrightunsigned(x, 32) <= F.shiftrightunsigned(last, 32), place(x) - (W - 1)).otherwise(place(last) + 1)
+        return first + LEAST <= n
+
+    # as variables of lambdas both are computed once, not for each gram
+    return let(chosen, lambda own: let(chars, lambda n: F.filter(own, lambda x, i: early(own, n, x, i))))
+
+
+def edited_fingerprint(edited: Column, chosen: Column, next_chosen: Column, own: Column) -> Column:
+    """The fingerprint of a text whose first `own` characters are of one text and the others the first of another, from both texts' fingerprints.
+
+    Only windows that meet both parts are hashed anew.
+    """
+    start = F.greatest(own - (LEAST - 1), F.lit(0))
+    rest = F.length(edited) - own
+    moved = lambda a, by: let(by, lambda n: F.transform(a, lambda x: x - n))
+    both = F.when((own > 0) & (rest > 0), moved(fingerprint(F.substring(edited, start + 1, own - start + (LEAST - 1))), start)).otherwise(F.array().cast("array<bigint>"))
+    whole = F.array_distinct(F.concat(head_of(chosen, own), both, moved(head_of(next_chosen, rest), own)))
+    return F.when(F.length(edited) < LEAST, fingerprint(edited)).otherwise(whole)
 
 
 def shown(chosen: Column) -> Column:
     """`hash:place` of the chosen grams, joined by spaces."""
-    one = lambda x: F.concat(F.shiftrightunsigned(x, 32), F.lit(":"), F.lit(2**32 - 1) - x.bitwiseAND(F.lit(2**32 - 1)))
+    one = lambda x: F.concat(F.shiftrightunsigned(x, 32), F.lit(":"), place(x))
     return F.array_join(F.transform(chosen, one), " ")
 
 
@@ -116,7 +149,7 @@ def edited_fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame
     dealt = dealt.withColumns({"next_text": F.coalesce("next.text", "head"), "next_chosen": F.coalesce("next.chosen", "head_chosen")})
     n = F.length("text")
     dealt = dealt.select("doc_id", n.cast("long").alias("n_chars"), "chosen", "next_chosen", F.expr("concat(left(text, length(text) - length(text) div 2), left(next_text, cast(length(text) div 2 as int)))").alias("edited"))
-    dealt = dealt.withColumn("edited_chosen", fingerprint(F.col("edited")))
+    dealt = dealt.withColumn("edited_chosen", edited_fingerprint(F.col("edited"), F.col("chosen"), F.col("next_chosen"), (F.col("n_chars") - F.floor(F.col("n_chars") / 2)).cast("int")))
     return dealt.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), shown(F.col("chosen")).alias("fingerprint"), shown(F.col("edited_chosen")).alias("edited_fingerprint"),
         likeness(F.col("chosen"), F.col("edited_chosen")).alias("near_edited"), likeness(F.col("chosen"), F.col("next_chosen")).alias("near_next"),

@@ -161,6 +161,41 @@ def test_fingerprints(docs):
     assert sorted(r["edited_sha256"] for r in got) == want
 
 
+def winnowed(text, k=12, w=12):
+    """hash:place of the grams that windows choose, in plain Python."""
+    c = [ord(x) for x in text]
+    hashes = []
+    for i in range(max(1, len(c) - k + 1) if c else 0):
+        h = 0
+        for x in c[i : i + k]:
+            h = (h * winnow.BASE + x) % winnow.PRIME
+        hashes.append((h, -i))
+    return list(dict.fromkeys(min(hashes[i : i + w]) for i in range(max(1, len(hashes) - w + 1)))) if hashes else []
+
+
+def test_fingerprints_equal_plain_python(spark):
+    random.seed(3)
+    texts = ["", "a", "é" * 40, "\U0001f600 emoji \U0001f601" * 9, "kurzer Text", "x" * 23] + ["".join(random.choices("abc 日é", k=random.choice([1, 11, 12, 22, 23, 24, 44, 45, 46, 47, 90, 300]))) for _ in range(150)]
+    rows = list(enumerate(texts))
+    got = {r["doc_id"]: r for r in winnow.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), ranges=3).collect()}
+    show = lambda own: " ".join(f"{h}:{-i}" for h, i in own)
+    alike = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for d, t in rows:
+        other = texts[d - 1]  # descending, the first follows the last
+        edited = t[: len(t) - len(t) // 2] + other[: len(t) // 2]
+        own, new = winnowed(t), winnowed(edited)
+        assert (got[d]["fingerprint"], got[d]["edited_fingerprint"]) == (show(own), show(new))
+        assert got[d]["near_edited"] == pytest.approx(alike({h for h, _ in own}, {h for h, _ in new}))
+
+
+def test_short_documents_keep_a_fingerprint(spark):
+    random.seed(4)
+    word = lambda: "".join(random.choices("abcdefghijklmnop", k=6))
+    rows = [(i, " ".join(word() for _ in range(12))) for i in range(20)] + [(20, "字" + "".join(chr(0x4E00 + random.randrange(999)) for _ in range(80)))]
+    got = winnow.edited_fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(r["near_edited"] > 0 for r in got)
+
+
 def test_toxicity_learns_a_lexicon():
     random.seed(1)
     words = [f"word{i}" for i in range(200)]
