@@ -89,18 +89,28 @@ def search_places(places: DataFrame, query: str, limit: int = 20) -> DataFrame:
 def fuzzy_suggestions(names: DataFrame, candidates: DataFrame, top: int = 3, cutoff: float = 0.78) -> DataFrame:
     """name, suggestion, score, rank: the closest of the candidates by difflib's ratio, a name itself not counted.
 
-    Names meet candidates that share a three-letter run; a ratio of 0.78 can't be reached by names of four
-    letters or more without one. Blocks are equi-joins, so no pair is made that shares nothing.
+    Of s letters in both names, a ratio of at least `cutoff` leaves at most (1 - cutoff) s unmatched, so the
+    cutoff s / 2 matched ones lie in at most (1 - cutoff) s + 1 runs: if they are more than the runs, one run
+    has two letters. Names meet candidates that share a two-letter run, and where s may be too small for
+    that, those that share a letter. Blocks are equi-joins, so no pair is made that shares nothing.
     """
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
-    a = names.select("name").distinct().withColumn("g", F.explode(grams(F.col("name"))))
-    b = candidates.select(F.col("name").alias("suggestion")).distinct().withColumn("g", F.explode(grams(F.col("suggestion"))))
-    close = F.abs(F.length("name") - F.length("suggestion")) <= F.greatest(F.length("name"), F.length("suggestion")) * (2 - 2 * cutoff)
+    surplus = 1.5 * cutoff - 1
+    short = 1 / surplus if surplus > 0 else math.inf  # from more letters in both on, a two-letter run is sure
+
+    def keys(c: Column) -> Column:
+        runs = lambda k: F.when(F.length(c) >= k, F.transform(F.sequence(F.lit(1), F.length(c) - (k - 1)), lambda i: F.substring(c, i, F.lit(k)))).otherwise(F.array().cast("array<string>"))
+        letters = F.lit(True) if math.isinf(short) else F.length(c) <= short
+        return F.array_distinct(F.concat(runs(2), F.when(letters, runs(1)).otherwise(F.array().cast("array<string>"))))
+
+    a = names.select("name").distinct().withColumn("g", F.explode(keys(F.col("name"))))
+    b = candidates.select(F.col("name").alias("suggestion")).distinct().withColumn("g", F.explode(keys(F.col("suggestion"))))
+    close = 2 * F.least(F.length("name"), F.length("suggestion")) >= cutoff * (F.length("name") + F.length("suggestion")) - 1e-9
     pairs = a.join(b, "g").where(close & (F.col("name") != F.col("suggestion"))).select("name", "suggestion").distinct()
 
     def ratio(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            f["score"] = [difflib.SequenceMatcher(None, s, n).ratio() for n, s in zip(f["name"], f["suggestion"], strict=True)]
+            matchers = (difflib.SequenceMatcher(None, s, n) for n, s in zip(f["name"], f["suggestion"], strict=True))
+            f["score"] = [m.ratio() if m.quick_ratio() >= cutoff else 0.0 for m in matchers]
             yield f[f["score"] >= cutoff]
 
     scored = pairs.mapInPandas(ratio, "name string, suggestion string, score double")

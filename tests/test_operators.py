@@ -1,3 +1,6 @@
+import difflib
+import random
+
 from pyspark.sql import functions as F
 
 from terralex.functions import text as T
@@ -56,6 +59,17 @@ def test_points(spark):
     assert centroid(box(0, 0, 2, 4)) == (1.0, 2.0)
 
 
+def test_fuzzy_suggestions_equal_difflib(spark):
+    random.seed(6)
+    names = ["essen", "esben", "breda", "bruda", "lodi", "lordi", "abcd", "abxcd", "ab", "axb", "a", ""]
+    names += ["".join(random.choices("aelnort", k=random.randint(2, 8))) for _ in range(120)]
+    names = sorted(set(names))
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    for cutoff in (0.78, 0.6):
+        want = {(n, s) for n in names for s in difflib.get_close_matches(n, [x for x in names if x != n], 999, cutoff)}
+        assert {(r["name"], r["suggestion"]) for r in S.fuzzy_suggestions(df, df, 999, cutoff).collect()} == want
+
+
 def test_memo_calls_once_for_each_key(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, ""), (4, "b")], "id int, text string")
     cache = spark.createDataFrame([], "key string, value string, seq long")
