@@ -84,6 +84,41 @@ def test_embeddings_equal_brute_force(spark):
     assert all(got[d]["n_links"] == 0 and got[d]["kept"] for d in range(200, 205))
 
 
+def close_vectors(n, near, dim, seed=3):
+    """n random vectors, the last `near` of which lie at cosines from 0.93 to 0.99 of the first ones."""
+    rng = np.random.default_rng(seed)
+    v = rng.standard_normal((n, dim))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    for k in range(near):
+        e = v[n - near + k] - v[k] * (v[n - near + k] @ v[k])
+        c = 0.93 + 0.06 * k / near
+        v[n - near + k] = c * v[k] + np.sqrt(1 - c * c) * e / np.linalg.norm(e)
+    return v.astype(np.float32)
+
+
+def test_embeddings_recall(spark):
+    v = close_vectors(6000, 1500, 64)
+    rows = spark.createDataFrame([(i, x.tolist(), "clash", 1) for i, x in enumerate(v)], "vec_id long, embedding array<float>, line string, n int")
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.embedding_dedup(rows).collect()}
+    u = v.astype(float)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    want = (u @ u.T >= 0.95).sum(axis=1) - 1
+    assert want.sum() > 1500 and all(got[i] <= want[i] for i in range(len(v)))
+    assert sum(got.values()) >= 0.999 * want.sum()
+
+
+def test_counts_decide_which_pairs_are_verified():
+    v = close_vectors(1500, 300, 64).astype(float)
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    q, half, least = embedding_dedup.counting(64, 0.95)
+    line, codes, may = embedding_dedup.sketch(u, q), np.zeros((1500, 0), np.int32), np.ones((1500, 1500), bool)
+    linked, verified = embedding_dedup.linked_pairs(u, line, codes, may, half, least, 0.95)
+    want = np.triu(u @ u.T >= 0.95, 1)
+    assert (np.triu(linked, 1) == want).all() and want.sum() <= verified < 0.001 * 1500 * 1499 / 2
+    assert embedding_dedup.linked_pairs(u, line, codes, may, half, 33, 0.95)[1] == 0
+    assert embedding_dedup.linked_pairs(u, np.zeros_like(line), codes, may, half, least, 0.95)[1] == 1500 * 1499 // 2
+
+
 def test_substrings_equal_brute_force(docs):
     seen, want = set(), {}
     for d, t in sorted(set((-(2**63) if d is None else d, t) for d, t in pairs(docs))):
