@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import re
+import sys
 import tempfile
 import unicodedata
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +75,26 @@ class Scratch:
         self.spark._jvm.System.gc()
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows, so that a worker holds few texts as Python objects at once."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+def released(run: Callable) -> Callable:
+    """A function for mapInArrow that gives its memory back when a partition ends: Spark keeps the worker for later tasks."""
+
+    def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return go
+
+
 class WordHashes(dict):
     """Memo from a word's bytes to its 64-bit hash."""
 

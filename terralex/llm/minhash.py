@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralex.llm.common import Scratch, WordHashes, components, fixed_width, gram_hashes, one_digest, sorted_groups
+from terralex.llm.common import Scratch, WordHashes, components, fixed_width, gram_hashes, one_digest, released, slices, sorted_groups
 
 BANDS, ROWS = 24, 4
 HASHES = BANDS * ROWS
@@ -60,7 +60,7 @@ def words_of(text: str | None) -> list[bytes]:
 def _signed(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             sizes, digests, sigs = [], [], []
             for text in batch.column("text").to_pylist():
                 s = shingle_set(words_of(text), k, memo)
@@ -69,18 +69,18 @@ def _signed(k: int):
                 sigs.append(signature(s).tobytes() if len(s) else None)
             yield pa.record_batch([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "digest", "sig"])
 
-    return run
+    return released(run)
 
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        for batch in batches:
+        for batch in slices(batches):
             sets = [shingle_set(words_of(t), k, memo).tobytes() for t in batch.column("text").to_pylist()]
             own = pa.array([xxhash.xxh3_128_digest(s) == d for s, d in zip(sets, batch.column("digest").to_pylist(), strict=True)], pa.bool_())
             yield pa.record_batch([batch.column("id"), pa.array(sets, pa.binary())], ["id", "shingles"]).filter(own)
 
-    return run
+    return released(run)
 
 
 def _agree(least: float):
@@ -92,7 +92,7 @@ def _agree(least: float):
                 batch = pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(keep)
                 yield batch
 
-    return run
+    return released(run)
 
 
 def _confirmed(percent: int):
@@ -103,7 +103,7 @@ def _confirmed(percent: int):
                 keep.append(similar(*(np.frombuffer(x.as_buffer(), np.uint64) for x in (a, b)), percent))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    return run
+    return released(run)
 
 
 GROUP = "bucket long, i long, j long, id long, comp long, block long, band int, sig binary"
@@ -147,7 +147,7 @@ def _best(least: float):
                         how.append(agree.max())
             yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(how, pa.float64())], ["u", "v", "agree"])
 
-    return run
+    return released(run)
 
 
 def _open(least: float):
@@ -162,7 +162,7 @@ def _open(least: float):
                     keep[a] = len(b.partners(a, others)[0]) > 0
             yield from t.filter(pa.array(keep)).combine_chunks().to_batches()
 
-    return run
+    return released(run)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -197,7 +197,7 @@ def _tested(least: float, percent: int):
                         vs.append(b.ids[o])
             yield pa.record_batch([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
 
-    return run
+    return released(run)
 
 
 def _full_sets(scratch: Scratch, docs: DataFrame, reps: DataFrame, ids: DataFrame, k: int) -> DataFrame:
