@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralex.llm.common import WordHashes, gram_hashes, mixed
+from terralex.llm.common import Scratch, WordHashes, gram_hashes, mixed, released, slices
 
-#: Labelled documents that the model is fitted on at most.
-SAMPLE = 8_000
+#: Labelled documents that the model is fitted on at most, and bytes of their words.
+SAMPLE, SAMPLE_BYTES = 8_000, 48_000_000
+#: Score of every text, at most, where the labels tell nothing: nobody is accused without evidence.
+UNTOLD = 0.1
 #: Terms at most, the least share of toxic documents of a term, and terms expected to pass by chance.
 TERMS, PRECISION, CHANCE = 600, 0.75, 0.5
 #: A weak term's share of toxic documents is so many times that of all documents at least.
@@ -220,13 +223,17 @@ def label_model(votes_of: np.ndarray, prior: float, rounds: int = 50) -> tuple[n
     return post, rates.T
 
 
-def train(texts: list[str], toxic: np.ndarray) -> Model:
-    """A model from sampled documents (words joined by spaces) and their labels."""
-    prior = float((toxic.sum() + 0.5) / (len(toxic) + 1))
-    empty = Model({}, {}, [(0.0, 0.0)] * VOTERS, float(np.log(prior / (1 - prior))), [(0.5, 0.5)] * VOTERS)
+def train(texts: list[str], toxic: np.ndarray, documents: np.ndarray | None = None) -> Model:
+    """A model from sampled texts (words joined by spaces), their labels, and how many documents have each text.
+
+    Without a term that tells toxic from clean texts, every score is the share of toxic documents, UNTOLD at most.
+    """
+    documents = np.ones(len(toxic)) if documents is None else documents
+    prior = float(((toxic * documents).sum() + 0.5) / (documents.sum() + 1))
     lexicon = mine(texts, toxic)
     if not lexicon:
-        return empty
+        share = min(prior, UNTOLD)
+        return Model({}, {}, [(0.0, 0.0)] * VOTERS, float(np.log(share / (1 - share))), [(0.5, 0.5)] * VOTERS)
     probe = Model({}, lexicon, [], 0.0, [])
     found = [probe.hits(t.split()) for t in texts]
     v = np.array([votes(f, n, t.count(" ") + bool(t), lexicon) for (f, n), t in zip(found, texts, strict=True)])
@@ -259,7 +266,7 @@ def held_out(doc_id) -> F.Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits a model on at most `sample` labelled documents outside the held-out fold, chosen by a hash of doc_id."""
+    """Fits a model on at most `sample` labelled documents outside the held-out fold, chosen by a hash of doc_id, and SAMPLE_BYTES of their words."""
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id"))).select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
     chosen = known.groupBy("id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "id")  # `sample` rows at most
@@ -269,22 +276,41 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             words = [" ".join(words_of(t)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("toxic"), pa.array(words, pa.string())], ["id", "toxic", "words"])
 
-    once = rows.mapInArrow(run, "id long, toxic int, words string").groupBy("words").agg(F.max("toxic").alias("toxic"), F.min("id").alias("id"))
-    got = sorted(once.collect(), key=lambda r: r["id"])
-    return train([r["words"] for r in got], np.array([r["toxic"] > 0 for r in got], bool))
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    texts = scratch.cut(rows.mapInArrow(released(run), "id long, toxic int, words string").groupBy("words").agg(F.max("toxic").alias("toxic"), F.min("id").alias("id"), F.count("*").alias("n")))
+    # narrow rows, `sample` at most: texts in the sample's order as far as their bytes go
+    sizes = sorted(texts.select("id", F.xxhash64("id").alias("h"), F.octet_length("words").alias("bytes")).collect(), key=lambda r: (r["h"], r["id"]))
+    fits = [r["id"] for r, total in zip(sizes, accumulate(r["bytes"] for r in sizes), strict=True) if total <= SAMPLE_BYTES]
+    got = sorted(texts.where(F.col("id").isin(fits)).collect() if len(fits) < len(sizes) else texts.collect(), key=lambda r: r["id"])
+    scratch.drop(texts)
+    return train([r["words"] for r in got], np.array([r["toxic"] > 0 for r in got], bool), np.array([r["n"] for r in got], float))
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """Columns of docs, score and predicted (0 or 1); columns of these names are replaced."""
-    docs = docs.drop("score", "predicted")
-    schema = docs.select("*", F.lit(0.0).alias("score")).schema
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Columns of docs, and two of the given names (other than theirs): the score, and 1 if it reaches the threshold, else 0."""
+    if taken := set(names) & set(docs.columns):
+        raise ValueError(f"docs have columns {taken} of their own: give other names")
+    schema = docs.select("*", F.lit(0.0).alias(names[0])).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             scores = pa.array([model.score(words_of(t)) for t in batch.column("text").to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, names[0]])
+
+    return docs.mapInArrow(released(run), schema).withColumn(names[1], (F.col(names[0]) >= threshold).cast("int"))
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of docs whose text scores below the threshold, with all their columns, whatever these are called.
+
+    Null and empty texts score by the model's bias; rows that repeat stay or go together; an empty table stays empty.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            yield batch.filter(pa.array([model.score(words_of(t)) < threshold for t in batch.column("text").to_pylist()], pa.bool_()))
 
-    return docs.mapInArrow(run, schema).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return docs.mapInArrow(released(run), docs.schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -292,7 +318,8 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     labels: doc_id, toxic (0 or 1); those of rows with crc32(doc_id as text) mod 4 = 2 are never read
     for the model, and no label, language, source or id is an input of a score. Whole texts are scored,
-    null ones as empty. Without any usable label each score is the share of toxic documents expected.
+    null ones as empty. Where no labels are usable (none, or of one class), or no word tells the classes
+    apart, each score is the share of toxic documents among the labelled, 0.1 at most, and predicted is 0.
     Other columns are ignored, repeated rows stay, and an empty table gives no rows.
     """
     model = fit(docs, labels)

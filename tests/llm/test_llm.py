@@ -1,7 +1,9 @@
 import base64
 import hashlib
 import random
+import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -234,6 +236,68 @@ def test_pii_spans(spark):
     assert pii.masked("a 1.2.3.4 b", [("ip", 2, 9)]) == "a <IP> b"
 
 
+def base_by_contract(text):
+    """Spans of the contract's patterns as they are written there, with its checks."""
+    found = []
+    for k, m in ((k, m) for k, p in CONTRACT for m in re.finditer(p, text)):
+        d = re.sub(r"[^0-9]", "", m.group())
+        luhn = sum((lambda x: x - 9 if x > 9 else x)(int(c) * (1 + i % 2)) for i, c in enumerate(d[::-1])) % 10 == 0
+        good = {"email": True, "ip": k == "ip" and all(int(x) <= 255 for x in m.group().split(".")), "card": 14 <= len(d) <= 19 and luhn, "phone": 10 <= len(d) <= 15}
+        if good[k]:
+            found.append((m.start(), [c for c, _ in CONTRACT].index(k), k, m.end()))
+    return [(k, a, b) for a, _, k, b in sorted(found)]
+
+
+CONTRACT = [
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+]
+
+
+def test_pii_equals_the_contract(spark):
+    random.seed(9)
+    parts = ["a@b.c", "x_@d-e.ff_g@h.i", "1.2.3.4", "300.1.2.3", "01.002.3.4.5.6", "4111 1111 1111 1111", "4111111111111112", "+1 (555) 123-4567", "+12", "+1 555", "é", "@", ".", "-", " ", "\n", "7", "3782-822463-10005"]
+    rows = [(i, "".join(random.choices(parts, k=random.randint(0, 14)))) for i in range(400)] + [(500, None), (501, ""), (None, "a@b.c"), (1, "a@b.c"), (1, "a@b.c")]
+    got = pii.pii_spans(spark.createDataFrame([(d, t, "clash") for d, t in rows], "doc_id long, text string, found string")).collect()
+    assert len(got) == len(rows)
+    for r, (d, t) in zip(got, rows, strict=True):
+        base = base_by_contract(t or "")
+        said = [f"{k}:{a}:{b}" for k, a, b in base]
+        assert (r["doc_id"], r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]) == (d, *(sum(k == c for k, _, _ in base) for c, _ in CONTRACT))
+        assert r["base_sha256"] == hashlib.sha256(",".join(said).encode()).hexdigest()
+        spans = r["spans"].split(",") if r["spans"] else []
+        assert set(said) <= set(spans)
+        order = [(int(x.split(":")[1]), pii.KINDS.index(x.split(":")[0])) for x in spans]
+        assert order == sorted(order)
+
+
+def test_pii_adds_what_labelers_agree_on(spark):
+    random.seed(4)
+    digits = lambda n: "".join(random.choices("0123456789", k=n))
+    rows, added = [], {}
+    for i in range(300):
+        key = "AKIA" + "".join(random.choices("ABCDEFGHJKLMNPQRSTUVWXYZ234567", k=16))
+        good = {0: f"password={digits(4)}xyz{digits(6)}abc", 1: key, 2: "mail me at jo.doe [at] example [dot] org", 3: f"ssn {random.randint(100, 600)}-{random.randint(10, 99)}-{random.randint(1000, 9999)}"}.get(i % 10, "")
+        bad = f"order {digits(9)} version 3.400.12.{random.randint(300, 999)} page {digits(3)} on 2024-01-{random.randint(10, 28)}"
+        rows.append((i, f"write to a{i}@example.com or call +1 (555) 010-{digits(4)} now {good} but {bad}"))
+        added[i] = good
+    got = {r["doc_id"]: r["spans"] for r in pii.pii_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        own = [x.split(":") for x in got[i].split(",")]
+        more = [text[int(a) : int(b)] for k, a, b in own if (k, int(a), int(b)) not in base_by_contract(text)]
+        assert bool(more) == bool(added[i]) and all(m in added[i] for m in more), (text, more)
+
+
+def test_pii_takes_time_in_proportion():
+    began = time.time()
+    for text in ("a" * 400_000 + " x@y.z", "1" * 400_000, "a@b.c " * 20_000, "555-123-4567 " * 20_000, "+1" + " " * 400_000, "a1_" * 100_000):
+        good, bad = pii.checked(text)
+        pii.proposed(text, good, bad)
+    assert time.time() - began < 60
+
+
 def test_fingerprints(docs):
     got = winnow.edited_fingerprints(docs).collect()
     by = {}
@@ -334,6 +398,16 @@ def test_toxicity_equals_plain_python_on_odd_rows(docs, spark):
     assert all(r["predicted"] == (r["score"] >= 0.3) and 0 <= r["score"] <= 1 for r in got)
 
 
+@pytest.mark.parametrize("labels", [[], [(1, 0), (2, 0)], [(1, 1), (2, 1), (3, 1)], [(None, 1), (77, None)]])
+def test_toxicity_accuses_nobody_without_evidence(spark, labels):
+    docs = spark.createDataFrame([(i, f"same words for all {i % 3}", "x", 1) for i in range(60)] + [(60, None, "", 0), (61, "", "", 0)], "doc_id long, text string, score string, predicted int")
+    table = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, table).collect()
+    assert len(got) == 62 and all(r["predicted"] == 0 and 0 <= r["score"] <= toxicity.UNTOLD + 1e-9 for r in got)
+    kept = toxicity.without_toxic(docs, toxicity.fit(docs, table))
+    assert kept.schema == docs.schema and kept.count() == 62
+
+
 def test_toxicity_on_held_out_documents(spark):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     got = toxicity.toxicity(*(spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))).where("held_out").collect()
@@ -408,8 +482,9 @@ def test_pipeline_equals_brute_force(spark, monkeypatch):
     counts, base = Counter(), Counter()
     spans = {}
     for d, t in cleaned.items():
-        sure = pii.base_spans(t or "")
-        spans[d] = sure, pii.proposed(t or "", sure)
+        sure, failed = pii.checked(t or "")
+        assert sure == base_by_contract(t or "")
+        spans[d] = sure, pii.proposed(t or "", sure, failed)
         for tally, own in zip((base, counts), spans[d], strict=True):
             tally.update(pii.votes(t or "", s) for s in own)
     of = pii.fit(counts, base)
