@@ -10,7 +10,7 @@ from terralex.llm.minhash import minhash_dedup
 from terralex.llm.packing import pack
 from terralex.llm.pii import mask_pii
 from terralex.llm.substring_dedup import substring_dedup
-from terralex.llm.toxicity import fit, score
+from terralex.llm.toxicity import fit, without_toxic
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -20,9 +20,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that a model, fitted on the labelled ones outside the held-out fold, predicts to be toxic."""
-    names = docs.columns
-    model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).where("predicted = 0").select(*names)
+    return without_toxic(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
