@@ -126,6 +126,14 @@ def gram_hashes(words: np.ndarray, k: int) -> np.ndarray:
     return mixed(h)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores in front as it takes to clash with none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def byte_of_char() -> dict[str, int]:
     """The bytes that byte-level vocabularies write as printable characters: the others follow from 256 on."""
     keep = [*range(33, 127), *range(161, 173), *range(174, 256)]

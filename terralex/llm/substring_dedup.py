@@ -11,7 +11,9 @@
 3. Reported word ranges go back to their documents, where covered words are removed.
 
 A document never meets an automaton that can't match it, so work grows with the text and not with
-text times shards. A group larger than a shard is streamed on; only its distinct windows are held.
+text times shards. A group larger than a shard is streamed on; only its distinct windows are held, of HOT
+stretches at most: where more share an anchor, their windows form groups of their own, by a hash of all
+their words, and a window that more than HOT places hold is dealt to parts, each of which holds the first.
 """
 
 from __future__ import annotations
@@ -22,16 +24,19 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from terralex.llm.common import Scratch, WordHashes, gram_hashes
+from terralex.llm.common import Scratch, WordHashes, free_name, gram_hashes, released, slices
 
 WINDOW, GRAM = 20, 6
 #: Windows that one place of a 6-word run can anchor.
 SPAN = WINDOW - GRAM + 1
 #: Stretches of one automaton; its root has a branch for each first word, which are searched one by one.
 SHARD = 500
+#: Stretches or windows that one group holds at most.
+HOT = 4096
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -57,25 +62,40 @@ def stretches(words: list[bytes], memo: WordHashes) -> tuple[np.ndarray, np.ndar
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     memo = WordHashes()
-    for batch in batches:
+    for batch in slices(batches, 2048):
         if not batch.num_rows:
             continue
         found = [stretches((t or "").encode().split(), memo) for t in batch.column("text").to_pylist()]
-        dids = np.repeat(batch.column("did").to_numpy(), [len(f[0]) for f in found])
-        anchors, starts, _, again = (np.concatenate([f[i] for f in found]) for i in range(4))
-        yield pa.record_batch([pa.array(anchors.astype(np.uint64).view(np.int64)), pa.array(dids, pa.int64()), pa.array(starts, pa.int32()), pa.array(again, pa.bool_())], ["anchor", "did", "start", "again"])
+        dids, ths = (np.repeat(batch.column(c).to_numpy(), [len(f[0]) for f in found]) for c in ("did", "th"))
+        anchors, starts, ns, again = (np.concatenate([f[i] for f in found]) for i in range(4))
+        columns = [pa.array(anchors.astype(np.uint64).view(np.int64)), pa.array(dids, pa.int64()), pa.array(ths, pa.int64()), pa.array(starts, pa.int32()), pa.array(ns.astype(np.int16), pa.int16()), pa.array(again, pa.bool_())]
+        yield pa.record_batch(columns, ["anchor", "did", "th", "start", "n", "again"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window of the marked stretches, with a hash of its words."""
+    for batch in slices(batches):
+        dids, ths, starts, keys = [], [], [], []
+        for did, th, text, marks in zip(*(batch.column(c).to_pylist() for c in ("did", "th", "text", "marks")), strict=True):
+            words = (text or "").encode().split()
+            for m in marks:
+                for at in range(m["start"], m["start"] + m["n"]):
+                    dids.append(did)
+                    ths.append(th)
+                    starts.append(at)
+                    keys.append(xxhash.xxh3_64_intdigest(b" ".join(words[at : at + WINDOW])))
+        yield pa.record_batch([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(dids, pa.int64()), pa.array(ths, pa.int64()), pa.array(starts, pa.int32())], ["key", "did", "th", "start"])
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    memo = WordHashes()
-    for batch in batches:
+    """The words of the marked stretches."""
+    for batch in slices(batches):
         out: tuple[list, ...] = ([], [], [], [], [])
-        for did, th, text, marks in zip(*(batch.column(c).to_pylist() for c in ("did", "th", "text")), batch.column("marks"), strict=True):
+        for did, th, text, marks in zip(*(batch.column(c).to_pylist() for c in ("did", "th", "text", "marks")), strict=True):
             words = (text or "").encode().split()
-            anchors, starts, ns, _ = stretches(words, memo)
-            keep = np.isin(starts, marks.values.to_numpy())
-            for a, s, n in zip(anchors[keep].view(np.int64).tolist(), starts[keep].tolist(), ns[keep].tolist(), strict=True):
-                for column, x in zip(out, (a, did, th, s, b" ".join(words[s : s + n + WINDOW - 1])), strict=True):
+            for m in marks:
+                s = m["start"]
+                for column, x in zip(out, (m["key"], did, th, s, b" ".join(words[s : s + m["n"] + WINDOW - 1])), strict=True):
                     column.append(x)
         yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["anchor", "did", "th", "start", "words"])
 
@@ -199,19 +219,35 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield located()
 
 
+def _marks(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """did, th, text and marks of the documents that have any in marked (key, did, th, start, n)."""
+    return docs.join(marked.groupBy("did", "th").agg(F.collect_set(F.struct("start", "n", "key")).alias("marks")), ["did", "th"])
+
+
 def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """did, th, ranges (array of struct a, b): words a to b-1 of the documents that hold later occurrences.
 
-    docs: did long, th long (a hash of the text), text string.
+    docs: did long, th long (a hash of the text), text string; rows of equal did and th are one document.
     """
-    anchors = scratch.cut(docs.select("did", "text").mapInArrow(_anchors, "anchor long, did long, start int, again boolean"))
-    recurring = anchors.groupBy("anchor").agg(F.count("*").alias("k"), F.max("again").alias("again")).where("k > 1 or again").select("anchor")
-    marks = scratch.cut(anchors.join(recurring, "anchor").groupBy("did").agg(F.collect_set("start").alias("marks")))
-    scratch.drop(anchors)
+    anchors = scratch.cut(docs.mapInArrow(released(_anchors), "anchor long, did long, th long, start int, n short, again boolean"))
+    recurring = scratch.cut(anchors.groupBy("anchor").agg(F.count("*").alias("k"), F.max("again").alias("again")).where("k > 1 or again").select("anchor", (F.col("k") > HOT).alias("hot")))
+    marked = scratch.cut(anchors.join(recurring, "anchor").select(F.col("anchor").alias("key"), "did", "th", "start", "n", "hot"))
+    scratch.drop(anchors, recurring)
+    groups = marked.where("not hot").drop("hot")
+    hot = marked.where("hot").drop("hot")
+    if not hot.isEmpty():
+        # a run of words that very many stretches hold: their windows one by one, and groups of equal windows in parts that each hold the first
+        windows = scratch.cut(_marks(docs, hot).mapInArrow(released(_windows), "key long, did long, th long, start int"))
+        place = F.struct("did", "th", "start")
+        first = windows.groupBy("key").agg(F.count("*").alias("k"), F.min(place).alias("first")).where("k > 1").withColumn("parts", F.expr(f"(k + {HOT - 1}) div {HOT}"))
+        one = F.lit(1).cast("short").alias("n")
+        later = windows.join(first, "key").where(place != F.col("first")).select(F.xxhash64("key", F.expr("pmod(xxhash64(did, th, start), parts)")).alias("key"), "did", "th", "start", one)
+        firsts = first.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select(F.xxhash64("key", "part").alias("key"), "first.did", "first.th", "first.start", one)
+        groups = groups.union(later).union(firsts)
     scratch.release_shuffles()
-    parts = docs.join(marks, "did").mapInArrow(_contents, "anchor long, did long, th long, start int, words binary")
+    parts = _marks(docs, groups).mapInArrow(released(_contents), "anchor long, did long, th long, start int, words binary")
     parts = parts.repartition("anchor").sortWithinPartitions("anchor", "did", "th", "start")
-    found = scratch.cut(parts.mapInArrow(_located, "did long, th long, a int, b int"))
+    found = scratch.cut(parts.mapInArrow(released(_located), "did long, th long, a int, b int"))
     scratch.release_shuffles()
     return found.groupBy("did", "th").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
 
@@ -223,16 +259,20 @@ def kept_words(words: list[bytes], ranges: list[tuple[int, int]]) -> list[bytes]
     return [w for w, k in zip(words, keep.tolist(), strict=True) if k]
 
 
-def _with_ranges(docs: DataFrame) -> DataFrame:
+def _with_ranges(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a column of ranges, and its name, which none of docs' columns has."""
     scratch = Scratch(docs.sparkSession, "substring")
-    keyed = docs.withColumns({"did": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), "th": F.xxhash64("text")})
-    return keyed.join(repeated_ranges(keyed.select("did", "th", "text"), scratch), ["did", "th"], "left").drop("did", "th")
+    did, th, ranges = (free_name(docs, c) for c in ("did", "th", "ranges"))
+    keyed = docs.withColumns({did: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))), th: F.xxhash64(F.col("text"), F.col("doc_id").isNull())})
+    own = keyed.select(F.col(did).alias("did"), F.col(th).alias("th"), F.col("text").cast("string").alias("text"))
+    found = repeated_ranges(own, scratch).toDF(did, th, ranges)
+    return keyed.join(found, [did, th], "left").drop(did, th), ranges
 
 
-def _removed(batch: pa.RecordBatch) -> Iterator[tuple[list[bytes], list[bytes]]]:
-    for text, ranges in zip(batch.column("text").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
+def _removed(batch: pa.RecordBatch, ranges: str) -> Iterator[tuple[list[bytes], list[bytes]]]:
+    for text, own in zip(batch.column("text").to_pylist(), batch.column(ranges).to_pylist(), strict=True):
         words = (text or "").encode().split()
-        yield words, kept_words(words, [(r["a"], r["b"]) for r in ranges]) if ranges else words
+        yield words, kept_words(words, [(r["a"], r["b"]) for r in own]) if own else words
 
 
 def substring_digests(docs: DataFrame) -> DataFrame:
@@ -245,31 +285,34 @@ def substring_digests(docs: DataFrame) -> DataFrame:
     ignored; an empty table gives no rows.
     """
 
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows, ranges = _with_ranges(docs.select("doc_id", F.col("text").cast("string").alias("text")))
+
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             n, removed, sha = [], [], []
-            for words, kept in _removed(batch):
+            for words, kept in _removed(batch, ranges):
                 n.append(len(words))
                 removed.append(len(words) - len(kept))
                 sha.append(hashlib.sha256(b" ".join(kept)).hexdigest())
             yield pa.record_batch([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = _with_ranges(docs.select("doc_id", F.col("text").cast("string").alias("text")))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
+    return rows.mapInArrow(released(run), f"doc_id {kind}, n_words long, n_removed long, kept_sha256 string")
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
     """Rows and columns of docs; texts that hold repeated passages are their kept words, joined by one space.
 
-    Repetition is that of `substring_digests`. Texts without any are returned unchanged, null ones too.
+    Repetition is that of `substring_digests`, also for null and repeated ids and texts of any length. Texts
+    without any are returned unchanged, null ones too; an empty table stays empty. Other columns are handed
+    through, whatever their names.
     """
+    rows, ranges = _with_ranges(docs)
     names = docs.columns
 
     def run(batches):
-        for batch in batches:
-            texts = [t if len(k) == len(w) else b" ".join(k).decode() for t, (w, k) in zip(batch.column("text").to_pylist(), _removed(batch), strict=True)]
-            columns = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays(columns, names)
+        for batch in slices(batches):
+            texts = [t if len(k) == len(w) else b" ".join(k).decode() for t, (w, k) in zip(batch.column("text").to_pylist(), _removed(batch, ranges), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names], names)
 
-    return _with_ranges(docs).mapInArrow(run, docs.schema)
+    return rows.mapInArrow(released(run), docs.schema)

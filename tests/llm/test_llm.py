@@ -121,9 +121,10 @@ def test_counts_decide_which_pairs_are_verified():
     assert embedding_dedup.linked_pairs(u, np.zeros_like(line), codes, may, half, least, 0.95)[1] == 1500 * 1499 // 2
 
 
-def test_substrings_equal_brute_force(docs):
-    seen, want = set(), {}
-    for d, t in sorted(set((-(2**63) if d is None else d, t) for d, t in pairs(docs))):
+def without_repeats(rows):
+    """What is left of the words of each (doc_id, text), in order of doc_id."""
+    seen, out = set(), {}
+    for d, t in sorted(set(rows)):
         w = t.encode().split()
         keep = [True] * len(w)
         for i in range(len(w) - 19):
@@ -131,11 +132,32 @@ def test_substrings_equal_brute_force(docs):
             if k in seen:
                 keep[i : i + 20] = [False] * 20
             seen.add(k)
-        kept = [x for x, k in zip(w, keep, strict=True) if k]
-        want[d] = (len(w), len(w) - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest())
+        out[d] = len(w), [x for x, k in zip(w, keep, strict=True) if k]
+    return out
+
+
+@pytest.mark.parametrize("hot", [4096, 5])
+def test_substrings_equal_brute_force(docs, monkeypatch, hot):
+    monkeypatch.setattr(substring_dedup, "HOT", hot)
+    line = " ".join(f"common{i}" for i in range(12))
+    mixed = [f"{' '.join(random.choices(['p', 'q', 'r'], k=9))} {line} {' '.join(random.choices(['p', 'q'], k=9))} tail {' '.join(map(str, range(i % 3, 40)))}" for i in range(40)]
+    docs = docs.select("doc_id", "text").union(docs.sparkSession.createDataFrame(list(enumerate(mixed, 200)), "doc_id long, text string"))
+    want = without_repeats([(-(2**63) if d is None else d, t) for d, t in pairs(docs)])
+    want = {d: (n, n - len(kept), hashlib.sha256(b" ".join(kept)).hexdigest()) for d, (n, kept) in want.items()}
     got = substring_dedup.substring_digests(docs).collect()
     assert len(got) == docs.count() and all((r["n_words"], r["n_removed"], r["kept_sha256"]) == want[-(2**63) if r["doc_id"] is None else r["doc_id"]] for r in got)
-    assert substring_dedup.substring_dedup(docs).columns == docs.columns
+
+
+def test_stages_hand_clashing_columns_through(spark):
+    names = ["doc_id", "text", "did", "th", "ranges", "score", "predicted", "found", "n", "key", "digest", "component_id", "kept"]
+    rows = [(d, t, *(f"{c}{i}" for c in names[2:])) for i, (d, t) in enumerate([*EDGE, (8, LONG + " more"), (None, None), (9, "call +1 (555) 010-9999")])]
+    docs = spark.createDataFrame(rows, ", ".join(f"{c} {'long' if c == 'doc_id' else 'string'}" for c in names))
+    for stage in (substring_dedup.substring_dedup, pii.mask_pii, lambda d: toxicity.without_toxic(d, toxicity.train([], np.zeros(0, bool)))):
+        for given in (docs, docs.limit(0)):
+            got = stage(given)
+            assert got.schema == given.schema
+            kept = {tuple(r[c] for c in names[2:]): r["text"] for r in got.collect()}
+            assert set(kept) == {tuple(r[c] for c in names[2:]) for r in given.collect()}
 
 
 def test_token_counts_equal_the_library(docs):
