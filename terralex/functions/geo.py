@@ -54,7 +54,64 @@ def read_wkb(data: bytes) -> list[Ring]:
 
 
 def polygon_wkt(rings: list[Ring]) -> str:
-    return "POLYGON (" + ", ".join("(" + ", ".join(f"{x:g} {y:g}" for x, y in r) + ")" for r in rings) + ")"
+    """Rings as WKT with all digits: a ring inside the last outer one is a hole of it, others begin a polygon of their own."""
+    polygons: list[list[Ring]] = []
+    for ring in rings:
+        if polygons and within(ring[0], polygons[-1][0]):
+            polygons[-1].append(ring)
+        else:
+            polygons.append([ring])
+    line = lambda r: "(" + ", ".join(f"{x!r} {y!r}" for x, y in r) + ")"
+    parts = ["(" + ", ".join(map(line, own)) + ")" for own in polygons]
+    return f"POLYGON {parts[0]}" if len(parts) == 1 else f"MULTIPOLYGON ({', '.join(parts)})"
+
+
+def within(point: tuple[float, float], ring: Ring) -> bool:
+    """Whether a point lies strictly inside a closed ring: not on its boundary."""
+    x, y = point
+    inside = False
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:], strict=False):
+        if (x2 - x1) * (y - y1) == (y2 - y1) * (x - x1) and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
+            return False
+        if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+            inside = not inside
+    return inside
+
+
+def dissolved(areas: dict[str, list[Ring]], group: dict[str, str]) -> dict[str, list[Ring]]:
+    """Rings of each group's areas without the edges that two of its areas share in opposite directions.
+
+    Membership of points is that of the union, as crossings of a shared edge cancel out.
+    """
+    out: dict[str, list[Ring]] = {}
+    by: dict[str, list[Ring]] = {}
+    for area, rings in areas.items():
+        by.setdefault(group[area], []).extend(rings)
+    for name, rings in by.items():
+        left: dict[tuple, int] = {}
+        for e in (e for r in rings for e in edges([r])):
+            back = (e[2], e[3], e[0], e[1])
+            if left.get(back):
+                left[back] -= 1
+            else:
+                left[e] = left.get(e, 0) + 1
+        after: dict[tuple[float, float], list[tuple[float, float]]] = {}
+        for (x1, y1, x2, y2), n in left.items():
+            after.setdefault((x1, y1), []).extend([(x2, y2)] * n)
+        out[name] = []
+        while after:
+            start = at = next(iter(after))
+            ring = [start]
+            while after.get(at):
+                nxt = after[at].pop()
+                if not after[at]:
+                    del after[at]
+                ring.append(nxt)
+                at = nxt
+                if at == start:
+                    break
+            out[name].append(ring)
+    return out
 
 
 def point_wkt(lon: Column, lat: Column) -> Column:

@@ -92,15 +92,17 @@ def parsed_date(c: Column) -> Column:
 
 
 def without_artifacts(c: Column) -> Column:
-    """Page marks, copyright and load-date lines gone; lines trimmed."""
-    for p in (r"(?im)^\s*Page \d+ of \d+\s*$", r"(?im)^\s*Copyright .*$", r"(?im)^\s*Load-Date:.*$", r"(?im)^\s*End of Document\s*$", r"(?im)^\s*Graphic\s*$", r"(?im)^\s*Link to .*$"):
-        c = F.regexp_replace(c, p, "")
-    return F.array_join(F.transform(F.split(c, "\n"), lambda x: F.trim(x)), "\n")
+    """What extraction leaves gone: numbered dashes that begin a line, page marks, all but the last of consecutive numbers, long hexes, escapes of RTF; lines trimmed."""
+    c = or_empty(c)
+    for p in (r"(?m)^\s*-\d+\s*", r"(?i)\b-?\d+\s+Page of\s+-?\d+\b", r"\b-?\d+\b(?=\s+-?\d+\b)", r"\b[0-9A-Fa-f]{32,}\b", r"\\'[0-9a-fA-F]{2}", r"\\\*"):
+        c = F.regexp_replace(c, p, " ")
+    c = F.array_join(F.transform(F.split(c, "\n"), lambda x: F.trim(F.regexp_replace(x, "[ \t]+", " "))), "\n")
+    return F.regexp_replace(F.regexp_replace(c, "\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
 def looks_corrupt(title: Column, newspaper: Column, body: Column) -> Column:
     t = or_empty(title)
-    hexes = F.regexp_count(F.concat_ws(" ", t, or_empty(body)), F.lit("(?i)[0-9a-f]{16,}"))
+    hexes = F.regexp_count(F.concat_ws(" ", t, or_empty(body)), F.lit(r"\b[0-9A-Fa-f]{16,}\b"))
     return (F.trim(t) == "") | (F.trim(or_empty(newspaper)) == "") | t.startswith("Times New Roman") | t.contains("Page of") | (hexes > 2)
 
 
@@ -125,18 +127,40 @@ def sentence_list(c: Column) -> Column:
 
 
 #: Abbreviations after which no sentence ends.
-ABBREVIATIONS = ["dhr", "dr", "prof", "mr", "mrs", "ir", "ing", "bijv", "nr", "z.B", "bzw", "ca", "e.g", "i.e", "vs", "etc"]
+ABBREVIATIONS = ["dhr", "dr", "prof", "mr", "mevr", "mw", "ir", "ing", "st", "nr", "ca", "vgl", "bijv", "etc", "z.B", "bzw", "bspw", "d.h", "u.a", "e.g", "i.e", "vs"]
 
 
 def guarded_sentence_list(c: Column) -> Column:
-    """As sentence_list, but abbreviations don't end a sentence; closing quotes stay with it and digits may begin one."""
+    """As sentence_list, but abbreviations don't end a sentence, digits may begin one, and quotes or brackets that close one go with the white space."""
     text = F.trim(or_empty(c))
-    for a in ABBREVIATIONS:
-        text = F.regexp_replace(text, rf"(?i)\b({a.replace('.', '[.]')})\.", "$1\u0002")
-    marked = F.regexp_replace(text, "([.!?][\"'”’»)]*)\\s+([\"'“‘«(]*[A-ZÀ-ÖØ-Ý0-9])", "$1\u0001$2")
-    return F.filter(F.transform(F.split(marked, "\u0001"), lambda x: F.trim(F.translate(x, "\u0002", "."))), lambda x: x != "")
+    for a in (a for a in ABBREVIATIONS if "." in a):
+        first, last = a.split(".")
+        text = F.regexp_replace(text, rf"(?iU)\b({first})\.({last})\.", "$1\u0002$2\u0002")
+    text = F.regexp_replace(text, rf"(?iU)\b({'|'.join(a for a in ABBREVIATIONS if '.' not in a)})\.", "$1\u0002")
+    parts = F.split(text, "(?<=[.!?])(?:[\"')\\]]+)?\\s+(?=[A-ZÀ-ÖØ-Ý0-9])")
+    return F.filter(F.transform(parts, lambda x: F.trim(F.translate(x, "\u0002", "."))), lambda x: x != "")
 
 
 def coalesced_first(*conditions: tuple[Column, Column]) -> Column:
     """The value of the first condition that holds."""
     return reduce(lambda acc, cv: F.when(cv[0], cv[1]).otherwise(acc), reversed(conditions), F.lit(None))
+
+
+def slug(c: Column) -> Column:
+    """A name for files: runs of anything but letters, digits and _ as one hyphen."""
+    return F.trim(F.regexp_replace(F.lower(F.trim(or_empty(c))), r"[^\p{L}\p{N}_]+", "-"), F.lit("-"))
+
+
+def cut_off(c: Column, most: int) -> Column:
+    """At most so many characters, an ellipsis as the last if any are missing."""
+    t = or_empty(c)
+    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.rtrim(F.substring(t, 1, most - 1)), F.lit("…")))
+
+
+def truthy(c: Column) -> Column:
+    return F.lower(F.trim(or_empty(c))).isin("1", "true", "yes", "y", "t")
+
+
+def preview(c: Column, most: int = 1200) -> Column:
+    """One line of at most so many characters."""
+    return F.substring(F.trim(F.regexp_replace(or_empty(c), r"\s+", " ")), 1, most)

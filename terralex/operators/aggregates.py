@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terralex.functions.text import listed, truthy
+
 SENTIMENTS = ["negative", "neutral", "positive"]
 #: Units that a region needs, by table.
 MIN_UNITS, MIN_UNITS_PER_LANGUAGE, MIN_MENTIONS = 500, 98, 30
@@ -164,3 +166,39 @@ def unwrapped(df: DataFrame, keys: list[str], value: str, several: str) -> DataF
     """Per key the one value it has, `several` if there are more, null if there is none; sets are never gathered."""
     low, high = F.min(value), F.max(value)
     return df.groupBy(*keys).agg(F.when(low == high, low).when(low < high, F.lit(several)).alias(value))
+
+
+def merged_vocabulary(vocabulary: DataFrame, reviews: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A vocabulary (category, keyword) with the keywords of accepted reviews, and the audit of each (row, category, keyword, status).
+
+    reviews: row (order), include, categories and keywords joined by semicolons. Categories keep their spelling, keywords are
+    compared without regard to case: of those that several rows add, the first does. A new category is reported by its first row.
+    """
+    asked = reviews.where(truthy(F.col("include"))).select("row", F.posexplode(listed(F.col("categories"))).alias("c", "category"), listed(F.col("keywords")).alias("ks"))
+    have = vocabulary.select("category", F.lower("keyword").alias("norm")).distinct()
+    fresh = asked.join(vocabulary.select("category").distinct(), "category", "left_anti")
+    created = fresh.groupBy("category").agg(F.min("row").alias("row")).select("row", "category", F.lit(None).cast("string").alias("keyword"), F.lit("created_category").alias("status"))
+    words = asked.select("row", "c", "category", F.posexplode("ks").alias("k", "keyword")).withColumn("norm", F.lower("keyword"))
+    first = Window.partitionBy("category", "norm").orderBy("row", "c", "k")
+    words = words.withColumn("_n", F.row_number().over(first)).join(have.withColumn("_old", F.lit(True)), ["category", "norm"], "left")
+    said = words.withColumn("status", F.when(F.col("_old") | (F.col("_n") > 1), "already_present").otherwise("added_keyword"))
+    added = said.where("status = 'added_keyword'").select("category", "keyword")
+    return vocabulary.select("category", "keyword").union(added), created.union(said.select("row", "category", "keyword", "status"))
+
+
+def wide_scores(df: DataFrame, key: str, model: str, value: str, models: list[str]) -> DataFrame:
+    """A row for each key with a column for each model, from one pass over long rows; of several values the greatest."""
+    return df.groupBy(key).agg(*(F.max(F.when(F.col(model) == m, F.col(value))).alias(m) for m in models))
+
+
+def mapped_points(df: DataFrame, lon: str, lat: str) -> DataFrame:
+    """Rows whose coordinates are numbers, with these as numbers."""
+    return df.withColumns({c: F.col(c).try_cast("double") for c in (lon, lat)}).where(F.col(lon).isNotNull() & F.col(lat).isNotNull() & ~F.isnan(lon) & ~F.isnan(lat))
+
+
+def markdown_report(df: DataFrame, group: str, order: str, line: Column, most: int = 5) -> DataFrame:
+    """group, report: a heading and the first lines of each group."""
+    n = Window.partitionBy(group).orderBy(order)
+    lines = df.select(group, F.row_number().over(n).alias("n"), line.alias("line")).where(F.col("n") <= most)
+    listed_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: F.concat(F.lit("- "), x["line"])), "\n")
+    return lines.groupBy(group).agg(listed_.alias("l")).select(group, F.concat(F.lit("## "), F.col(group), F.lit("\n\n"), F.col("l")).alias("report"))

@@ -2,25 +2,33 @@
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terralex.functions.text import normal_key, or_empty
+from terralex.functions.text import folded, normal_key, or_empty
 
-#: Countries in their order, codes, and names in other languages.
+#: Countries in their order, codes, names in other languages, and labels of several countries.
 COUNTRIES = ["Germany", "Austria", "Switzerland", "Netherlands", "Italy"]
-CODES = {"DEU": "Germany", "AUT": "Austria", "CHE": "Switzerland", "NLD": "Netherlands", "ITA": "Italy", "DE": "Germany", "AT": "Austria", "CH": "Switzerland", "NL": "Netherlands", "IT": "Italy"}
+ISO3 = {"AUT": "Austria", "DEU": "Germany", "ITA": "Italy", "NLD": "Netherlands", "CHE": "Switzerland"}
+ISO2 = {"AT": "Austria", "CH": "Switzerland", "DE": "Germany", "IT": "Italy", "NL": "Netherlands"}
 NAMES = {
-    "Germany": ["germany", "deutschland", "duitsland", "germania", "allemagne"],
-    "Austria": ["austria", "osterreich", "oesterreich", "oostenrijk", "autriche"],
-    "Switzerland": ["switzerland", "schweiz", "suisse", "svizzera", "zwitserland"],
-    "Netherlands": ["netherlands", "nederland", "the netherlands", "holland", "paesi bassi"],
-    "Italy": ["italy", "italia", "italien", "italie"],
+    "Germany": ["Germany", "Deutschland", "Duitsland", "Germania", "Allemagne", "Bundesrepublik Deutschland", "BRD"],
+    "Austria": ["Austria", "Österreich", "Oesterreich", "Oostenrijk", "Autriche"],
+    "Switzerland": ["Switzerland", "Schweiz", "Suisse", "Svizzera", "Zwitserland", "Switserland"],
+    "Netherlands": ["Netherlands", "Nederland", "The Netherlands", "Holland", "Paesi Bassi", "Niederlande"],
+    "Italy": ["Italy", "Italia", "Italien", "Italië", "Italie"],
 }
-SEVERAL = {"dach": ["Germany", "Austria", "Switzerland"], "dach region": ["Germany", "Austria", "Switzerland"]}
+SEVERAL = {
+    ("Germany", "Austria", "Switzerland"): [
+        "German-speaking countries", "German speaking countries", "DACH", "D-A-CH", "Germany/Austria/Switzerland", "Germany, Austria and Switzerland",
+        "Deutschland Österreich Schweiz", "Deutschland, Österreich und Schweiz",
+    ],
+}
 NOTHING = ["", "none", "nan", "null", "<na>"]
 
 
@@ -28,29 +36,107 @@ def _map(pairs: dict[str, str]) -> Column:
     return F.create_map(*(F.lit(x) for x in chain(*pairs.items())))
 
 
+def plain_key(name: str) -> str:
+    """What `country_key` makes of a name, for the tables of this module."""
+    text = "".join(c for c in unicodedata.normalize("NFKD", name.strip().lower()) if not unicodedata.combining(c))
+    return re.sub(r"[^\w\s.'/&,]", "", re.sub(r"\s+", " ", re.sub(r"[-_]+", " ", text.replace("’", "'")))).strip()
+
+
+def country_key(label: Column) -> Column:
+    """A label in lower case without accents, blanks for - and _, no punctuation but . ' / & and commas."""
+    c = F.regexp_replace(F.translate(folded(F.trim(or_empty(label))), "’", "'"), "[-_]+", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(c, r"\s+", " "), r"[^\p{L}\p{N}_\s.'/&,]", ""))
+
+
 def country_name(label: Column) -> Column:
-    """The canonical country of a name or code; null if there is none."""
-    names = {alias: c for c, aliases in NAMES.items() for alias in aliases}
-    return F.coalesce(F.try_element_at(_map(names), normal_key(label)), F.try_element_at(_map(CODES), F.upper(F.trim(or_empty(label)))))
+    """The canonical country of a name or three-letter code; null if there is none."""
+    names = {plain_key(alias): c for c, aliases in NAMES.items() for alias in aliases}
+    return F.coalesce(F.try_element_at(_map(names), country_key(label)), F.try_element_at(_map(ISO3), F.upper(F.trim(or_empty(label)))))
+
+
+def country_of_id(code: Column) -> Column:
+    """The canonical country of a three- or two-letter code."""
+    return F.try_element_at(_map(ISO3 | ISO2), F.upper(F.trim(or_empty(code))))
 
 
 def country_candidates(label: Column, scope: list[str] | None = None) -> Column:
-    """Canonical countries that a label names, in canonical order, within a scope."""
-    several = F.when(normal_key(label).isin(list(SEVERAL)), F.array(*(F.lit(c) for c in SEVERAL["dach"])))
-    parts = F.transform(F.split(or_empty(label), r"(?i)\s*(?:[,;/&]|\b(?:und|en|et|and)\b)\s*"), country_name)
-    found = F.coalesce(several, F.when(country_name(label).isNotNull(), F.array(country_name(label))), parts)
-    order = F.array(*(F.lit(c) for c in (COUNTRIES if scope is None else [c for c in COUNTRIES if c in scope])))
+    """Canonical countries that a label names, in canonical order, within a scope: a label of several, a single one, or a list of at least two parts."""
+    several = {plain_key(x): list(countries) for countries, labels in SEVERAL.items() for x in labels}
+    group = F.try_element_at(F.create_map(*(x for k, cs in several.items() for x in (F.lit(k), F.array(*(F.lit(c) for c in cs))))), country_key(label))
+    parts = F.filter(F.transform(F.split(or_empty(label), r"(?iU)\s*(?:,|;|\||/|&|\band\b|\bund\b|\ben\b|\bet\b)\s*"), lambda x: F.trim(x)), lambda x: x != "")
+    listed = F.when(F.size(parts) > 1, F.transform(parts, country_name)).otherwise(F.array().cast("array<string>"))
+    found = F.coalesce(group, F.when(country_name(label).isNotNull(), F.array(country_name(label))), listed)
+    order = F.array(*(F.lit(c) for c in (COUNTRIES if not scope else [c for c in COUNTRIES if c in scope])))
     return F.array_intersect(order, F.array_compact(found))
 
 
 def assign_country(df: DataFrame, location: str, granularity: str, scope: list[str] | None = None) -> DataFrame:
-    """Adds country_candidates, country_assignment and country."""
-    found = country_candidates(F.col(location), scope)
+    """Adds country_candidates, country_assignment, country, has_single_country and multi_country_scope."""
     level = F.lower(F.trim(or_empty(F.col(granularity)))) == "country"
-    df = df.withColumn("country_candidates", F.when(level, found).otherwise(F.array().cast("array<string>")))
+    df = df.withColumn("country_candidates", country_candidates(F.col(location), scope))
     n = F.size("country_candidates")
-    kind = F.when(~level, "not_country_level").when(n == 0, "no_country").when(n == 1, "single_country").otherwise("multiple_countries")
-    return df.withColumn("country_assignment", kind).withColumn("country", F.when(n == 1, F.element_at("country_candidates", 1)))
+    kind = F.when(n == 1, "single_country").when(n > 1, "multiple_countries").when(level, "no_country").otherwise("not_country_level")
+    return df.withColumns({"country_assignment": kind, "country": F.when(n == 1, F.element_at("country_candidates", 1)), "has_single_country": n == 1, "multi_country_scope": F.lit(len(scope or []) > 1)})
+
+
+def single_country(assignment: Column, country: Column, country_id: Column) -> Column:
+    """A row's one country: the one assigned, else that of its id, unless several were named."""
+    kind = F.trim(or_empty(assignment))
+    named = country_name(country)
+    return F.when((kind == "single_country") & named.isNotNull(), named).when(kind != "multiple_countries", country_of_id(country_id))
+
+
+def normal_payload(df: DataFrame, location: str, granularity: str, scope: list[str] | None = None) -> DataFrame:
+    """assign_country, and the answer itself put straight: one country by its canonical name and at level country, several or an unknown one as NONE."""
+    df = assign_country(df, location, granularity, scope)
+    kind = F.col("country_assignment")
+    level = F.lower(F.trim(or_empty(F.col(granularity)))) == "country"
+    nothing = (kind == "multiple_countries") | ((kind != "single_country") & level)
+    place = F.when(kind == "single_country", F.col("country")).when(nothing, "NONE").otherwise(F.col(location))
+    grain = F.when(kind == "single_country", "country").when(nothing, "none").otherwise(F.col(granularity))
+    return df.withColumns({location: place, granularity: grain})
+
+
+def scope_of(config: dict, language: str | None = None) -> list[str]:
+    """Countries in scope by a configuration: by language, for all, or by one of the older keys; in canonical order."""
+    lang = (language or config.get("language") or "").strip()
+    scope = config.get("country_scope") or {}
+    by_language = scope.get("countries_by_language") or scope.get("by_language") or {}
+    countries = scope.get("countries")
+    older = config.get("countries") or {}
+    if lang in by_language:
+        found = by_language[lang]
+    elif isinstance(countries, dict) and lang in countries:
+        found = countries[lang]
+    elif countries:
+        found = countries
+    elif isinstance(older, dict) and lang in older:
+        found = older[lang]
+    else:
+        found = config.get("country") or lang
+    names = {plain_key(a): c for c, aliases in NAMES.items() for a in aliases}
+    names |= {plain_key(a): list(cs) for cs, labels in SEVERAL.items() for a in labels} | {k.lower(): c for k, c in ISO3.items()}
+    parts = [found] if isinstance(found, str) else list(found)
+    flat = [c for x in parts for p in ([x] if plain_key(x) in names else re.split(r"[,;|/]", x)) for c in (lambda v: v if isinstance(v, list) else [v] if v else [])(names.get(plain_key(p)))]
+    return [c for c in COUNTRIES if c in flat]
+
+
+def document_text(df: DataFrame, document: str, order: str, body: str, paragraph: str) -> DataFrame:
+    """document, text: the first body that isn't blank, else the paragraphs in order with an empty line between them."""
+    says = ~F.lower(F.trim(or_empty(F.col(body)))).isin(NOTHING)
+    whole = F.min_by(F.when(says, F.trim(F.col(body))), F.when(says, F.col(order)))
+    parts = F.array_sort(F.collect_list(F.struct(F.col(order), F.trim(or_empty(F.col(paragraph))).alias("p"))))
+    return df.groupBy(document).agg(F.coalesce(whole, F.trim(F.array_join(F.transform(parts, lambda x: x["p"]), "\n\n"))).alias("text"))
+
+
+def best_mention(df: DataFrame, unit: str, place: str, text: str, importance: str) -> DataFrame:
+    """unit, place, score: of the places named for a unit the one of the best score: twice its mentions, nearness to the text's beginning, importance."""
+    low, name = F.lower(or_empty(F.col(text))), F.lower(F.col(place))
+    times = (F.length(low) - F.length(F.replace(low, name, F.lit("")))) / F.length(name)
+    first = F.position(name, low) - 1
+    score = 2 * times + F.when(first >= 0, 1 / (1 + first / 100)).otherwise(0.0) + F.col(importance)
+    rows = df.select(unit, place, score.alias("score"))
+    return rows.groupBy(unit).agg(F.min_by(F.struct(place, "score"), F.struct(-F.col("score"), place)).alias("m")).select(unit, f"m.{place}", "m.score")
 
 
 def clean_place(c: Column) -> Column:

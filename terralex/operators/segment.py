@@ -56,6 +56,26 @@ def neighbours(df: DataFrame, document: str, order: str, text: str) -> DataFrame
     return df.withColumns({"previous": F.coalesce(F.lag(text).over(w), F.lit("")), "following": F.coalesce(F.lead(text).over(w), F.lit(""))})
 
 
+def neighbour_key(df: DataFrame) -> list[str]:
+    """The columns that tell a sentence's paragraph: its uid, else source, title, date and number, else its text."""
+    return next((ks for ks in (["uid"], ["source", "document_title", "publish_date", "paragraph_id"], ["paragraph_text"]) if set(ks) <= set(df.columns)), [])
+
+
+def neighbour_sentences(df: DataFrame, order: str = "sentence_id", text: str = "sentence_text") -> DataFrame:
+    """Adds prev_sentence and next_sentence within a paragraph, by the best key that the rows have."""
+    keys = neighbour_key(df)
+    if not keys:
+        raise ValueError("no column tells the paragraphs of sentences")
+    w = Window.partitionBy(*keys).orderBy(order)
+    return df.withColumns({"prev_sentence": F.coalesce(F.lag(text).over(w), F.lit("")), "next_sentence": F.coalesce(F.lead(text).over(w), F.lit(""))})
+
+
+def joined_lines(text: Column) -> Column:
+    """Blocks between empty lines, with their single line breaks as blanks."""
+    blocks = F.transform(F.split(or_empty(text), r"\n\s*\n+"), lambda b: F.trim(F.regexp_replace(b, r"\s*\n\s*", " ")))
+    return F.array_join(F.filter(blocks, lambda b: b != ""), "\n\n")
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine of two arrays; 0 if either has no length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), lambda s, v: s + v)

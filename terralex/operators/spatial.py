@@ -38,19 +38,21 @@ def edge_table(spark: SparkSession, areas: dict[str, list[Ring]], cell: float =
 def points_in_areas(points: DataFrame, edges: DataFrame, cell: float = 1.0) -> DataFrame:
     """point, area for each area that holds a point (columns point, x, y): an equi-join on grid cells, parity of crossings as residual.
 
-    Boundaries are half open: left and lower edges belong to an area, right and upper ones don't.
+    A point on a boundary lies in no area.
     """
     at = points.withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
-    crossing = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / (F.col("y2") - F.col("y1")) + F.col("x1"))
-    met = at.join(edges.where("y1 <> y2"), ["cx", "cy"]).where(crossing)
-    return met.groupBy("point", "area").agg(F.count("*").alias("n")).where("n % 2 = 1").select("point", "area")
+    x, y, x1, y1, x2, y2 = (F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2"))
+    crossing = F.when((y1 > y) != (y2 > y), x < (x2 - x1) * (y - y1) / (y2 - y1) + x1).otherwise(False)
+    on = ((x2 - x1) * (y - y1) == (y2 - y1) * (x - x1)) & x.between(F.least(x1, x2), F.greatest(x1, x2)) & y.between(F.least(y1, y2), F.greatest(y1, y2))
+    met = at.join(edges, ["cx", "cy"]).withColumns({"_c": crossing, "_on": on}).where("_c or _on")
+    return met.groupBy("point", "area").agg(F.count_if("_c").alias("n"), F.max("_on").alias("edge")).where("n % 2 = 1 and not edge").select("point", "area")
 
 
 def gazetteer_names(places: DataFrame) -> DataFrame:
-    """One best place for each normalised name. places: place_id, name, alternates (comma list), feature_class, feature_code, population, lat, lon."""
+    """One best place for each normalised name. places: place_id, name, asciiname (or none), alternates (comma list), feature_class, feature_code, population, lat, lon."""
     code, cls = (F.create_map(*(F.lit(x) for kv in m.items() for x in kv)) for m in (FEATURE_CODES, FEATURE_CLASSES))
     rank = F.coalesce(F.try_element_at(code, F.col("feature_code")), F.try_element_at(cls, F.col("feature_class")), F.lit(99))
-    names = F.array_distinct(F.concat(F.array("name"), F.filter(F.split(or_empty(F.col("alternates")), ","), lambda x: x != "")))
+    names = F.array_distinct(F.concat(F.array("name", *([F.coalesce("asciiname", F.lit(""))] if "asciiname" in places.columns else [])), F.filter(F.split(or_empty(F.col("alternates")), ","), lambda x: x != "")))
     rows = places.withColumns({"key": F.explode(names), "priority": rank}).withColumn("key", normal_key(F.col("key"))).where("key <> ''")
     best = Window.partitionBy("key").orderBy("priority", F.col("population").desc_nulls_last(), "place_id")
     return rows.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")

@@ -5,11 +5,11 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 import yaml
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from terralex.functions.geo import read_wkb
@@ -57,17 +57,34 @@ def decoded(data: bytes) -> str:
         return data.decode("cp1252")
 
 
-def exports(spark: SparkSession, folder: str) -> DataFrame:
-    """path, source_id, text of all .rtf files below a folder, without document lists."""
+#: Turns the content of a PDF into the texts of its pages; none comes with this package.
+Pages = Callable[[bytes], list[str]]
+
+
+def pdf_text(data: bytes, pages: Pages) -> str:
+    """Pages without lines that only count them, with an empty line between."""
+    kept = ("\n".join(line for line in page.splitlines() if not re.fullmatch(r"(?i)\s*page \d+ of \d+\s*", line)).strip() for page in pages(data))
+    return "\n\n".join(p for p in kept if p)
+
+
+def exports(spark: SparkSession, folder: str, pages: Pages | None = None) -> DataFrame:
+    """path, source_id, relative path and folder, text of all .rtf files below a folder (and .pdf files, given a reader of pages), without document lists."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    files = files.where(F.lower("path").rlike(r"\.rtf$") & ~F.lower("path").rlike("doclist[^/]*$"))
+    files = files.where(F.lower("path").rlike(r"\.(rtf|pdf)$" if pages else r"\.rtf$") & ~F.lower("path").rlike("doclist[^/]*$"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"path": f["path"], "text": [rtf_text(bytes(c)) for c in f["content"]]})
+            yield pd.DataFrame({"path": f["path"], "text": [pdf_text(bytes(c), pages) if p.lower().endswith(".pdf") else rtf_text(bytes(c)) for p, c in zip(f["path"], f["content"], strict=True)]})
 
     rows = files.select("path", "content").mapInPandas(run, "path string, text string")
-    return rows.select("path", source_id(F.col("path")).alias("source_id"), "text")
+    return rows.select("path", source_id(F.col("path")).alias("source_id"), *source_parts(F.col("path"), folder), "text")
+
+
+def source_parts(path: Column, folder: str) -> list[Column]:
+    """relative_path and folder of a path below a root; the root itself is an empty folder."""
+    root = re.sub(r"^file:/*", "/", folder).rstrip("/")
+    relative = F.regexp_replace(F.regexp_replace(path, "^file:/*", "/"), "^" + re.escape(root) + "/+", "")
+    return [relative.alias("relative_path"), F.regexp_extract(relative, r"^(.*)/[^/]*$", 1).alias("folder")]
 
 
 def source_id(path):
@@ -136,15 +153,96 @@ def boundaries(spark: SparkSession, paths: list[str], level_three: tuple[str, ..
     need = [r[0] for r in rows.where(F.col("country_id").isin(*level_three)).select("country_id").distinct().collect()]
     if missing := set(need) - set(have):
         raise ValueError(f"no level 3 boundaries of {sorted(missing)}")
-    rings = F.udf(lambda b: [[list(p) for p in ring] for ring in read_wkb(bytes(b))], "array<array<array<double>>>")
+
+    @F.pandas_udf("array<array<array<double>>>")
+    def rings(data: pd.Series) -> pd.Series:
+        return data.map(lambda b: [[list(p) for p in ring] for ring in read_wkb(bytes(b))])
+
     return rows.where(F.col("parent_subtype") == wanted).select("country_id", "parent_id", "parent_name", "parent_subtype", rings("geometry").alias("rings"))
 
 
 def write_finished(df: DataFrame, path: str, status: str) -> None:
-    """Writes CSV unless any row is unfinished; the writer's commit makes the result appear at once."""
-    if n := df.where(F.col(status).isNull() | ~F.col(status).isin("ok", "empty")).count():
+    """Writes CSV unless any row is unfinished, and puts it in place of what was there before by renaming.
+
+    The rows are computed once, into a folder beside the path; a failed or refused write leaves the old result.
+    """
+    spark = df.sparkSession
+    path, new, old = path.rstrip("/"), path.rstrip("/") + ".new", path.rstrip("/") + ".old"
+    open_ = F.col(status).isNull() | ~F.col(status).isin("ok", "empty")
+    seen = Observation()
+    df.observe(seen, F.count(F.when(open_, 1)).alias("unfinished")).write.mode("overwrite").csv(new, header=True)
+    at = {p: spark._jvm.org.apache.hadoop.fs.Path(p) for p in (path, new, old)}
+    files = at[path].getFileSystem(spark._jsc.hadoopConfiguration())
+    if n := seen.get["unfinished"]:
+        files.delete(at[new], True)
         raise ValueError(f"{n} rows are unfinished")
-    df.write.mode("overwrite").csv(path, header=True)
+    files.delete(at[old], True)
+    if files.exists(at[path]):
+        files.rename(at[path], at[old])
+    files.rename(at[new], at[path])
+    files.delete(at[old], True)
+
+
+def features(spark: SparkSession, paths: list[str], country: str = "IT", level: int = 3, expected: int | None = None) -> DataFrame:
+    """id, name, rings of the areas of one country and level in GeoJSON files; without geometry they go. Fails on repeated ids, or another number than expected."""
+    shape = "struct<type: string, coordinates: string>"
+    rows = spark.read.schema(f"features array<struct<properties: struct<CNTR_CODE: string, LEVL_CODE: int, NUTS_ID: string, NUTS_NAME: string>, geometry: {shape}>>").json(paths, multiLine=True)
+    rows = rows.select(F.explode("features").alias("f")).where((F.col("f.properties.CNTR_CODE") == country) & (F.col("f.properties.LEVL_CODE") == level))
+    one = F.from_json("f.geometry.coordinates", "array<array<array<double>>>")
+    many = F.flatten(F.from_json("f.geometry.coordinates", "array<array<array<array<double>>>>"))
+    rings = F.when(F.col("f.geometry.type") == "Polygon", one).when(F.col("f.geometry.type") == "MultiPolygon", many)
+    out = rows.select(F.col("f.properties.NUTS_ID").alias("id"), F.col("f.properties.NUTS_NAME").alias("name"), rings.alias("rings")).where("size(rings) > 0")
+    n, distinct = out.agg(F.count("*"), F.countDistinct("id")).first()
+    if n != distinct or (expected is not None and n != expected):
+        raise ValueError(f"{n} areas, {distinct} distinct; expected {expected}")
+    return out
+
+
+def existing(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Those of the files that exist and aren't empty."""
+    conf = spark._jsc.hadoopConfiguration()
+    at = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    return [p for p, x in zip(paths, at, strict=True) if (fs := x.getFileSystem(conf)).exists(x) and (fs.getFileStatus(x).isDirectory() or fs.getFileStatus(x).getLen())]
+
+
+def many_csv(spark: SparkSession, paths: list[str], schema: str) -> DataFrame:
+    """Rows of those of the CSV files that exist and hold anything."""
+    found = existing(spark, paths)
+    return csv_files(spark, found, schema) if found else spark.createDataFrame([], schema)
+
+
+def override_table(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """A CSV as text with all the given columns; missing ones are empty, a missing or empty file has no rows."""
+    if not existing(spark, [path]):
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in columns))
+    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    return rows.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in rows.columns else F.lit("").alias(c) for c in columns))
+
+
+def geocoder_cache(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """key, lat, lon, name, provider of JSON lines of a geocoder's answers: malformed lines and other statuses than ok are skipped, of a key the last counts."""
+    kind = "key string, query string, country_codes string, provider string, status string, result struct<lat: string, lon: string, disp: string, provider: string>"
+    rows = spark.read.text(paths).select(F.monotonically_increasing_id().alias("seq"), F.from_json("value", kind, {"mode": "PERMISSIVE"}).alias("j"))
+    rows = rows.where("j.status = 'ok' and j.result is not null")
+    key = F.coalesce(F.nullif(F.col("j.key"), F.lit("")), F.concat(F.trim(F.coalesce("j.query", F.lit(""))), F.lit("||"), F.coalesce("j.country_codes", F.lit(""))))
+    rows = rows.select(key.alias("key"), "seq", F.struct(F.col("j.result.lat").try_cast("double").alias("lat"), F.col("j.result.lon").try_cast("double").alias("lon"), F.col("j.result.disp").alias("name"), F.coalesce("j.result.provider", "j.provider", F.lit("geocoder")).alias("provider")).alias("v"))
+    return rows.groupBy("key").agg(F.max_by("v", "seq").alias("v")).select("key", "v.*")
+
+
+def merged_patterns(defaults: list[str], file_text: str = "", configured: list[str] | None = None) -> list[str]:
+    """Patterns of the defaults, a file (a line each, # begins a comment) and a configuration; the first of equals stays."""
+    lines = (line.strip() for line in file_text.splitlines())
+    return list(dict.fromkeys([*defaults, *(x for x in lines if x and not x.startswith("#")), *(x.strip() for x in configured or [] if x.strip())]))
+
+
+def checked_documents(spark: SparkSession, path: str, key: str, columns: list[str], sha256: str | None = None) -> DataFrame:
+    """Chosen columns of a table of documents, one row for each key; fails if the ids aren't those that a checksum was taken of."""
+    rows = spark.read.parquet(path).select(key, *columns).dropDuplicates([key])
+    if sha256 is not None:
+        found = rows.agg(F.sha2(F.bit_xor(F.xxhash64(key)).cast("string"), 256)).first()[0]
+        if found != sha256:
+            raise ValueError(f"the documents of {path} have changed: {found}")
+    return rows
 
 
 def append_lines(df: DataFrame, path: str) -> None:

@@ -1,17 +1,23 @@
 import difflib
+import json
 import random
+import zipfile
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from terralex.functions import text as T
-from terralex.functions.geo import box, centroid
+from terralex.functions.geo import box, centroid, dissolved, polygon_wkt
 from terralex.operators import aggregates as A
 from terralex.operators import countries as C
 from terralex.operators import evaluation as E
 from terralex.operators import memo as M
 from terralex.operators import segment as G
 from terralex.operators import spatial as S
+from terralex.sources import files as W
 from terralex.sources.files import rtf_text, sniffed_separator
+from terralex.streaming.incremental import new_bodies, remember
 
 
 def test_threshold_choice(spark):
@@ -41,7 +47,7 @@ def test_extremes_are_disjoint(spark):
 
 
 def test_countries(spark):
-    df = spark.createDataFrame([("DACH", "country"), ("Deutschland", "country"), ("Italia und NL", "country"), ("Delft", "city"), (None, "country")], "loc string, gran string")
+    df = spark.createDataFrame([("DACH", "country"), ("Deutschland", "country"), ("Italia und NLD", "country"), ("Delft", "city"), (None, "country")], "loc string, gran string")
     got = [(r["country_assignment"], r["country"]) for r in C.assign_country(df, "loc", "gran").collect()]
     assert got == [("multiple_countries", None), ("single_country", "Germany"), ("multiple_countries", None), ("not_country_level", None), ("no_country", None)]
 
@@ -70,16 +76,43 @@ def test_fuzzy_suggestions_equal_difflib(spark):
         assert {(r["name"], r["suggestion"]) for r in S.fuzzy_suggestions(df, df, 999, cutoff).collect()} == want
 
 
-def test_memo_calls_once_for_each_key(spark):
+def test_memo_calls_once_for_each_key(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, ""), (4, "b")], "id int, text string")
     cache = spark.createDataFrame([], "key string, value string, seq long")
-    rows, new = M.memo_classify(df, "text", M.fingerprint(F.lit("m"), F.col("text")), cache, lambda xs: [x.upper() for x in xs])
+    calls = spark.sparkContext.accumulator(0)
+
+    def shout(texts):
+        calls.add(len(texts))
+        return [x.upper() for x in texts]
+
+    rows, new = M.memo_classify(df, "text", M.fingerprint(F.lit("m"), F.col("text")), cache, shout, str(tmp_path / "a"))
     assert new.count() == 2
     assert {(r["id"], r["raw"], r["status"]) for r in rows.collect()} == {(1, "A", "ok"), (2, "A", "ok"), (3, None, "empty"), (4, "B", "ok")}
-    _, again = M.memo_classify(df, "text", M.fingerprint(F.lit("m"), F.col("text")), new, lambda xs: 1 / 0)
+    assert calls.value == 2
+    _, again = M.memo_classify(df, "text", M.fingerprint(F.lit("m"), F.col("text")), new, lambda xs: 1 / 0, str(tmp_path / "b"))
     assert again.count() == 0
 
 
+def test_memo_keeps_errors_of_rows(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "bad"), (3, "slow")], "id int, text string")
+    cache = spark.createDataFrame([], "key string, value string, seq long")
+    tried = spark.sparkContext.accumulator(0)
+
+    def fussy(texts):
+        if texts == ["slow"]:
+            tried.add(1)
+            raise M.Passing("later")
+        if texts == ["bad"]:
+            raise ValueError("no")
+        return texts
+
+    rows, new = M.memo_classify(df, "text", F.sha2("text", 256), cache, fussy, str(tmp_path / "a"), wait=(0.0, 0.0))
+    got = {r["id"]: (r["status"], r["error"]) for r in rows.collect()}
+    assert got == {1: ("ok", None), 2: ("error", "ValueError: no"), 3: ("error", "Passing: later")} and new.count() == 1 and tried.value == 3
+    again, _ = M.memo_classify(df, "text", F.sha2("text", 256), new, lambda xs: xs, str(tmp_path / "b"))
+    assert {r["status"] for r in again.collect()} == {"ok"}
+
+
 def test_sentiment_responses():
     assert M.sentiment_of('x {"sentiment": "Negative", "confidence": 3} y') == ("negative", 1.0, "ok")
     assert M.sentiment_of('{"error": "No sentence provided."}')[0] == "neutral"
@@ -98,5 +131,84 @@ def test_dates_and_text(spark):
     assert [r["d"] for r in got] == ["2020-05-05", "2021-03-05", None] and got[0]["s"] == ["Dr. Who came.", "It rained."]
 
 
+def test_finished_rows_replace_the_old_result(spark, tmp_path):
+    path = str(tmp_path / "out")
+    done, open_ = (spark.createDataFrame([(1, s)], "id int, status string") for s in ("ok", "error"))
+    W.write_finished(done, path, "status")
+    with pytest.raises(ValueError, match="1 rows are unfinished"):
+        W.write_finished(open_, path, "status")
+    assert spark.read.csv(path, header=True).count() == 1
+    W.write_finished(done.union(done), path, "status")
+    assert spark.read.csv(path, header=True).count() == 2
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "A b.RTF").write_bytes(rb"{\rtf1 Hello}")
+    (tmp_path / "c.pdf").write_bytes(b"%PDF one|Page 1 of 2|two")
+    (tmp_path / "doclist.rtf").write_bytes(b"{}")
+    got = {r["relative_path"]: (r["folder"], r["text"], r["source_id"][:-10]) for r in W.exports(spark, str(tmp_path), lambda b: b[5:].decode().replace("|", "\n").split("\n\n")).collect()}
+    assert got == {"sub/A%20b.RTF": ("sub", "Hello", "A_20b-"), "c.pdf": ("", "one\ntwo", "c-")} or {k.replace("%20", " ") for k in got} == {"sub/A b.RTF", "c.pdf"}
+    (tmp_path / "cache.jsonl").write_text('{"key": "a||nl", "status": "ok", "result": {"lat": "1", "lon": 2}}\nbroken\n{"key": "a||nl", "status": "ok", "provider": "p", "result": {"lat": 3, "lon": 4}}\n{"query": "b", "country_codes": "nl", "status": "error"}\n{"query": " b ", "country_codes": "nl", "status": "ok", "result": {"lat": 5, "lon": 6, "disp": "B"}}\n')
+    assert {(r["key"], r["lat"], r["provider"]) for r in W.geocoder_cache(spark, [str(tmp_path / "cache.jsonl")]).collect()} == {("a||nl", 3.0, "p"), ("b||nl", 5.0, "geocoder")}
+    (tmp_path / "o.csv").write_text("location,action\nHill,ignore\n")
+    (tmp_path / "empty.csv").write_text("")
+    assert [tuple(r) for r in W.override_table(spark, str(tmp_path / "o.csv"), ["location", "action", "lat"]).collect()] == [("Hill", "ignore", "")]
+    assert W.override_table(spark, str(tmp_path / "empty.csv"), ["location"]).count() == 0
+    assert W.many_csv(spark, [str(tmp_path / "o.csv"), str(tmp_path / "empty.csv"), str(tmp_path / "none.csv")], "location string, action string").count() == 1
+    area = {"type": "Polygon", "coordinates": [[[0, 0], [1, 0], [1, 1], [0, 0]]]}
+    shapes = [{"properties": {"CNTR_CODE": c, "LEVL_CODE": lv, "NUTS_ID": i, "NUTS_NAME": i}, "geometry": g} for c, lv, i, g in (("IT", 3, "ITI17", area), ("IT", 2, "ITI1", area), ("DE", 3, "DE1", area), ("IT", 3, "ITX", None))]
+    (tmp_path / "s.geojson").write_text(json.dumps({"features": shapes}))
+    assert [r["id"] for r in W.features(spark, [str(tmp_path / "s.geojson")], expected=1).collect()] == ["ITI17"]
+    with pytest.raises(ValueError, match="expected 107"):
+        W.features(spark, [str(tmp_path / "s.geojson")], expected=107)
+    assert W.merged_patterns(["a"], "b\n# c\n\na\n", ["d", "b"]) == ["a", "b", "d"]
+    assert W.lexicon("strong: [a, ' a ']\ncontextual: []\ncompeting: [c]")["strong"] == ["a"]
+    W.append_lines(spark.createDataFrame([("k", "v")], "key string, value string"), str(tmp_path / "log"))
+    W.append_lines(spark.createDataFrame([("k", "w")], "key string, value string"), str(tmp_path / "log"))
+    assert W.json_cache(spark, [str(tmp_path / "log")], "string").count() == 2
+    with zipfile.ZipFile(tmp_path / "nl.zip", "w") as z:
+        z.writestr("NL.txt", "1\tDelft\tDelft\t\t52.0\t4.4\tP\tPPL\tNL" + "\t" * 10 + "\n2\tNowhere" + "\t" * 17 + "\n")
+    assert [r["name"] for r in W.gazetteer(spark, [str(tmp_path / "nl.zip")]).collect()] == ["Delft"]
+    assert [tuple(r) for r in W.decimal_comma(spark.createDataFrame([(0.5, 1)], "a double, b int")).collect()] == [("0,5", 1)]
+
+
+def test_geometry():
+    two = [box(0, 0, 1, 1), box(2.1234567, 0, 3, 1)]
+    assert polygon_wkt(two).startswith("MULTIPOLYGON") and "2.1234567" in polygon_wkt(two)
+    assert polygon_wkt([box(0, 0, 10, 10), box(4, 4, 6, 6)]).startswith("POLYGON ((0")
+    merged = dissolved({"a": [box(0, 0, 1, 1)], "b": [box(1, 0, 2, 1)]}, {"a": "x", "b": "x"})["x"]
+    assert sum(abs(sum(x1 * y2 - x2 * y1 for (x1, y1), (x2, y2) in zip(r, r[1:], strict=False)) / 2) for r in merged) == 2.0
+
+
+def test_scope_of_countries():
+    assert C.scope_of({"country_scope": {"countries_by_language": {"german": "DACH"}}}, "german") == ["Germany", "Austria", "Switzerland"]
+    assert C.scope_of({"countries": {"dutch": ["Nederland"]}}, "dutch") == ["Netherlands"] and C.scope_of({"country": "Italy, Austria"}) == ["Austria", "Italy"]
+
+
+def test_balanced_assignment(spark):
+    rows = E.balanced_assignment(spark.range(10_001), "id", ["a", "b", "c"]).collect()
+    assert Counter(r["rater"] for r in rows) == {"a": 3334, "b": 3334, "c": 3333}
+    assert sorted(rows, key=lambda r: r["id"]) == sorted(rows, key=lambda r: (r["rater"], r["id"]))
+
+
+def test_a_repeated_key_fails(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "y")], "k int, v string")
+    with pytest.raises(Exception, match="repeated keys"):
+        E.checked_join(a.select("k"), a, ["k"]).count()
+
+
+def test_a_stream_classifies_new_bodies_once(spark, tmp_path):
+    rows = [(1, "a", "2024-01-01 00:00:00"), (2, "a", "2024-01-01 01:00:00"), (3, "b", "2024-01-01 02:00:00")]
+    docs = spark.createDataFrame(rows, "id int, text string, at string").selectExpr("id", "text", "to_timestamp(at) at")
+    docs.write.parquet(str(tmp_path / "in"))
+    cache = str(tmp_path / "cache")
+    for n in (2, 3):
+        stream = new_bodies(spark, str(tmp_path / "in"), "id int, text string, at timestamp", "text", "at")
+        remember(stream, cache, str(tmp_path / "check"), lambda df: df.select("body_hash", "text")).awaitTermination()
+        assert spark.read.parquet(cache).count() == n
+        docs.where("id = 3").selectExpr("4 id", "'c' text", "at").write.mode("append").parquet(str(tmp_path / "in"))
+
+
 def test_sources():
     assert rtf_text(rb"{\rtf1{\fonttbl{\f0 Arial;}}Caf\'e9\par Body}") == "Café\nBody" and sniffed_separator("a;b;c") == ";"

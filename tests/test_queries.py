@@ -1,7 +1,7 @@
 import duckdb
 import pytest
 
-from terralex.plans.queries import ORACLES, QUERIES
+from terralex.plans.catalog import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
