@@ -115,11 +115,39 @@ def t11_pattern_hits(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.pattern_hits(F.lower("text"), ["th[a-z]+ing", "er[a-z]+ion"]).alias("hits"))
 
 
-@query("""select doc_id, sha256(text) body_hash from (select *, row_number() over (partition by sha256(text) order by n_chars desc nulls last, doc_id) r from documents where text is not null) where r = 1""")
+@query("""with r as (select *, case when doc_id % 11 <> 0 then date '2020-01-01' + (doc_id * 37 % 400)::int end published from documents where trim(coalesce(text, '')) <> '' and len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) >= 20), n as (select *, row_number() over (partition by text order by published is null, published, source, doc_id) r from r) select doc_id, sha256(text) body_hash from n where r = 1""")
 def t12_exact_dedupe(spark, sf):
-    """One row for each body, chosen before anything but keys is shuffled."""
-    d = table(spark, sf, "documents").where("text is not null").select("doc_id", "n_chars", F.sha2("text", 256).alias("body_hash"))
-    return d.groupBy("body_hash").agg(F.max_by("doc_id", F.struct("n_chars", -F.col("doc_id"))).alias("doc_id")).select("doc_id", "body_hash")
+    """One article for each body: the earliest, undated ones last."""
+    d = table(spark, sf, "documents").withColumn("published", F.when(F.col("doc_id") % 11 != 0, F.date_add(F.lit("2020-01-01").cast("date"), (F.col("doc_id") * 37 % 400).cast("int"))))
+    d = d.select(F.col("text").alias("body"), T.blank_words(F.col("text")).alias("word_count"), "published", F.col("source").alias("path"), F.col("doc_id").alias("title"))
+    return G.kept_articles(d, 20).select(F.col("title").alias("doc_id"), "body_hash")
+
+
+_ARTICLE = """case doc_id % 4 when 0 then 'Title ' || doc_id || e'\\nDe Krant\\n5 mei 2020\\nCopyright 2020\\nSection: News; p. 3\\nLength: 12 words\\nBody\\n\\n' || lower(coalesce(text, '')) || e'\\nLoad-Date: May 6, 2020\\nrest' when 1 then 'Title ' || doc_id || e'\\nSubtitle\\nDie Zeitung\\nMontag, 7. März 2021 Ausgabe\\nHighlight: x\\nBody\\n' || lower(coalesce(text, '')) when 2 then 'Title ' || doc_id || e'\\nIl Giornale\\nBody\\n' || lower(coalesce(text, '')) else 'Title ' || doc_id || e'\\nDe Krant\\nsome Body: inner words\\nLoad-Date: x' end"""
+_LINES = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[ \t]+', ' ', 'g'), '(?m)^ +| +$', '', 'g'), '\n{3,}', e'\n\n', 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(f"""with r as (select doc_id, {_LINES} t from documents), b as (select *, case when doc_id % 4 = 3 then 'inner words' else t end body from r)
+select doc_id, 'Title ' || doc_id title, case doc_id % 4 when 0 then 'De Krant' when 1 then 'Die Zeitung' when 2 then 'Il Giornale' else 'De Krant' end newspaper, case doc_id % 4 when 0 then '5 May 2020' when 1 then '7 March 2021' else '' end as "date", case doc_id % 4 when 0 then 'News' else '' end section,
+case when doc_id % 4 = 0 then 12 else len(list_filter(string_split_regex(body, '\\s+'), lambda x: x <> '')) end::int word_count, case doc_id % 4 when 0 then 'May 6, 2020' when 3 then 'x' else '' end load_date, body from b""")
+def t4_articles(spark, sf):
+    """Exports with texts of the documents (in lower case, as their words would be read as fields) as bodies."""
+    d = table(spark, sf, "documents")
+    k, t, body = F.col("doc_id") % 4, F.concat(F.lit("Title "), F.col("doc_id")), F.lower(T.or_empty(F.col("text")))
+    one = F.concat(t, F.lit("\nDe Krant\n5 mei 2020\nCopyright 2020\nSection: News; p. 3\nLength: 12 words\nBody\n\n"), body, F.lit("\nLoad-Date: May 6, 2020\nrest"))
+    two = F.concat(t, F.lit("\nSubtitle\nDie Zeitung\nMontag, 7. März 2021 Ausgabe\nHighlight: x\nBody\n"), body)
+    three, four = F.concat(t, F.lit("\nIl Giornale\nBody\n"), body), F.concat(t, F.lit("\nDe Krant\nsome Body: inner words\nLoad-Date: x"))
+    return G.articles(d.select("doc_id", F.when(k == 0, one).when(k == 1, two).when(k == 2, three).otherwise(four).alias("article")), "article", "doc_id")
+
+
+@query("""select doc_id, case doc_id % 5 when 0 then e'First line here.\\nLast one, long enough to be no caption at all.' when 1 then 'A sentence that stays as it is.' when 2 then e'Text before.\\n\\nFull sentence after a mark.' when 3 then 'He said that we all must go home now, and left.' else e'l1 x.\\nl2 x.\\nl3 x.\\nl4 x.\\nl5 x.\\nl6 x.\\nBy Ann' end body, (doc_id % 5 in (0, 2))::int graphics, (doc_id % 5 = 1)::int documents, case doc_id % 5 when 0 then 1 when 1 then 1 else 0 end captions, case doc_id % 5 when 0 then 1 when 1 then 1 else 0 end bylines, (doc_id % 5 = 3)::int quotes from documents""")
+def t9_cleaned_bodies(spark, sf):
+    bodies = [
+        "Door Jan Jansen\nFirst line here.\nGraphic\nA short label without an end\nLast one, long enough to be no caption at all.", "jo@example.org\nPhoto: a view\nhttps://example.org/a\nA sentence that stays as it is.",
+        "Text before.\nFOTO :\n\nFull sentence after a mark.", '"We all must go home now"\nHe said that we all must go home now, and left.', "l1 x.\nl2 x.\nl3 x.\nl4 x.\nl5 x.\nl6 x.\nBy Ann",
+    ]
+    body = F.element_at(F.array(*(F.lit(b) for b in bodies)), (F.col("doc_id") % 5 + 1).cast("int"))
+    return G.cleaned_bodies(table(spark, sf, "documents").select("doc_id", body.alias("body")), "body", "doc_id", "dutch")
 
 
 @query("""with m(source, region) as (values ('src0','Centre'),('src1','North'),('src2','South')) select doc_id, coalesce(region, 'National') region from documents left join m using (source)""")
@@ -144,9 +172,14 @@ def g13_neighbours(spark, sf):
     return G.neighbours(table(spark, sf, "conversations"), "conv_id", "turn", "text").select("conv_id", "turn", "previous", "following")
 
 
+def halves(segments: list[str]) -> list[list[float]]:
+    """A stand-in for vectors of texts: their shares of letters before and after m."""
+    return [[float(sum("a" <= c < "m" for c in x.lower())), float(sum("m" <= c <= "z" for c in x.lower()))] for x in segments]
+
+
 @query()
 def g1_paragraphs(spark, sf):
-    return G.paragraphs(table(spark, sf, "documents"), "text", "doc_id")
+    return G.paragraphs(table(spark, sf, "documents"), "text", "doc_id", halves)
 
 
 @query("""with v as (select vec_id, vec_id // 20 doc, embedding::double[] e, lag(embedding::double[]) over (partition by vec_id // 20 order by vec_id) p from embeddings) select vec_id, round(list_cosine_similarity(p, e), 6) similarity from v""")

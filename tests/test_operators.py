@@ -121,8 +121,33 @@ def test_sentiment_responses():
 
 def test_segmentation_keeps_all_words():
     text = "A heading\n\n" + " ".join(f"Word{i} is here." for i in range(200)) + "\n\nshort end"
-    parts = G.paragraphs_of(text)
-    assert " ".join(p for p, _ in parts).split() == text.split() and all(len(p.split()) <= 200 for p, _ in parts)
+    for embed in (None, lambda xs: [[1.0, float(i % 3)] for i, _ in enumerate(xs)], lambda xs: 1 / 0):
+        parts = G.paragraphs_of(text, embed)
+        assert " ".join(p.text for p in parts).split() == text.split() and all(len(p.text.split()) <= 200 for p in parts)
+        assert parts[0].reasons[0] == "heading_attached"
+
+
+def test_paragraphs_split_where_the_content_shifts():
+    text = " ".join(f"Sea water is wet and number {i} is deep blue today." for i in range(10)) + " " + " ".join(f"Hills are dry and stone {i} lies on a green meadow." for i in range(10))
+    parts = G.paragraphs_of(text, lambda xs: [[1.0, 0.0] if "Sea" in x else [0.0, 1.0] for x in xs])
+    assert [("Sea" in p.text, "Hills" in p.text) for p in parts if p.reasons[0] == "semantic_topic_shift"] == [(False, True)] * 2
+    assert parts[0].reasons == ("layout_boundary", "max_length_constraint") and not any("Sea" in p.text and "Hills" in p.text for p in parts)
+    assert next(p.before for p in parts if "semantic_topic_shift" in p.reasons) == 0.0
+
+
+def test_short_paragraphs_join():
+    text = "One short line of text.\n\nAnother short one follows here.\n\n" + "Words are here and there. " * 20
+    assert len(G.paragraphs_of(text)) > 1 and "merged_short" in G.paragraphs_of(text)[0].reasons
+    alone = " ".join(["word"] * 30) + "."
+    assert [p.text for p in G.paragraphs_of(f"{alone}\n\n{alone}")] == [alone, alone]
+
+
+def test_layout_blocks():
+    text = "A head\nThe first line ends.\nNext begins here and hyphen-\nated words join\nlower goes on\nCopyright 2020\nSee https://a.b\nMore text"
+    assert [(p.text, p.reasons[0]) for p in G.layout_blocks(text)] == [
+        ("A head", "layout_boundary"), ("The first line ends.", "single_newline_layout_boundary"),
+        ("Next begins here and hyphenated words join lower goes on", "single_newline_layout_boundary"), ("See https://a.b More text", "layout_boundary"),
+    ]
 
 
 def test_dates_and_text(spark):
