@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -98,11 +100,16 @@ def mentions(df: DataFrame, keys: list[str], listed: str, item: str = "frame") -
 
 
 def dense_shares(counts: DataFrame, group: str, item: str, items: list[str]) -> DataFrame:
-    """Shares of each item in each group, with rows of none for absent items; shares of a group add up to 100, or are 0."""
-    frame = counts.select(group).distinct().withColumn(item, F.explode(F.array(*(F.lit(i) for i in items))))
-    out = frame.join(counts, [group, item], "left").withColumn("mentions", F.coalesce("mentions", F.lit(0)).cast("long"))
-    total = F.sum("mentions").over(Window.partitionBy(group))
-    return out.withColumn("share", F.coalesce(share(F.col("mentions"), total), F.lit(0.0)))
+    """Shares of each item in each group, with rows of none for absent items; shares of a group add up to 100, or are 0.
+
+    One aggregation by group with a sum for each item, so counts are computed once.
+    """
+    sums = [F.sum(F.when(F.col(item) == i, F.col("mentions")).otherwise(0)).cast("long").alias(f"_{n}") for n, i in enumerate(items)]
+    rows = counts.groupBy(group).agg(*sums)
+    total = reduce(lambda a, b: a + b, (F.col(f"_{n}") for n in range(len(items))))
+    each = F.explode(F.array(*(F.struct(F.lit(i).alias(item), F.col(f"_{n}").alias("mentions")) for n, i in enumerate(items))))
+    out = rows.select(group, total.alias("_t"), each.alias("_e")).select(group, "_e.*", "_t")
+    return out.withColumn("share", F.coalesce(share(F.col("mentions"), F.col("_t")), F.lit(0.0))).drop("_t")
 
 
 def top_per_group(df: DataFrame, groups: list[str], order: list, k: int) -> DataFrame:
@@ -202,3 +209,23 @@ def markdown_report(df: DataFrame, group: str, order: str, line: Column, most: i
     lines = df.select(group, F.row_number().over(n).alias("n"), line.alias("line")).where(F.col("n") <= most)
     listed_ = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: F.concat(F.lit("- "), x["line"])), "\n")
     return lines.groupBy(group).agg(listed_.alias("l")).select(group, F.concat(F.lit("## "), F.col(group), F.lit("\n\n"), F.col("l")).alias("report"))
+
+
+#: Rank of a row's geometry by its layer.
+LAYERS = {"polygons": 0, "points": 1}
+
+
+def one_geometry(df: DataFrame, key: str, layer: str, order: str, matched: Column | None = None) -> DataFrame:
+    """One row for each key: that of the best layer (polygons, points, others), then the first in order; only matched ones if asked."""
+    rank = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in LAYERS.items() for x in kv)), F.col(layer)), F.lit(99))
+    rows = df if matched is None else df.where(matched)
+    others = [c for c in df.columns if c != key]
+    return rows.groupBy(key).agg(F.min_by(F.struct(*others), F.struct(rank, F.col(order))).alias("m")).select(key, "m.*")
+
+
+def assignment_audit(points: DataFrame, inside: DataFrame, point: str) -> DataFrame:
+    """kind, n: how many points came in, lie in an area, lie in none."""
+    both = points.select(point).distinct().join(inside.select(point).distinct().withColumn("_in", F.lit(True)), point, "left")
+    n = both.agg(F.count("*").alias("input"), F.count("_in").alias("assigned"))
+    kinds = F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("n")) for k, v in (("input", F.col("input")), ("assigned", F.col("assigned")), ("unassigned", F.col("input") - F.col("assigned")))))
+    return n.select(F.explode(kinds).alias("k")).select("k.*")

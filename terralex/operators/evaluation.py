@@ -246,6 +246,48 @@ def bucket(key: str, n: int = 100):
     return (F.crc32(F.col(key).cast("string").cast("binary")) % n).cast("int")
 
 
+def whole_merge(baseline: DataFrame, current: DataFrame, incoming: DataFrame, key: str, value: str) -> DataFrame:
+    """three_way_merge that is all or nothing: a conflict fails the job, and says how many there are."""
+    merged = three_way_merge(baseline, current, incoming, key, value)
+    if n := merged.where("state = 'conflict'").count():
+        raise ValueError(f"{n} rows were changed on both sides")
+    return merged
+
+
+def topped_up_sample(df: DataFrame, key: str, stratum: str, per_stratum: int, total: int, seed: int = 42) -> DataFrame:
+    """So many rows of each stratum, those of the least hashes, and of the others as many, in order of hashes, as are missing to the total; numbered in a shuffled order."""
+    h = hash_order(key, seed)
+    w = Window.partitionBy(stratum).orderBy("_h", key)
+    ranked = df.withColumn("_h", h).withColumn("_extra", F.row_number().over(w) > per_stratum)
+    chosen = ranked.orderBy("_extra", "_h", key).limit(total)
+    return chosen.withColumn("sample_id", F.row_number().over(Window.orderBy(hash_order(key, seed + 1), key))).drop("_h", "_extra")  # `total` rows
+
+
+def shared_assignment(sample: DataFrame, order: str, raters: list[str], overlap: int) -> DataFrame:
+    """A row for each rater of each sample: the first ones in order go to all raters, the others by turns."""
+    turn = F.element_at(F.array(*(F.lit(r) for r in raters)), ((F.col(order) - 1) % len(raters) + 1).cast("int"))
+    return sample.withColumn("rater", F.explode(F.when(F.col(order) <= overlap, F.array(*(F.lit(r) for r in raters))).otherwise(F.array(turn))))
+
+
+def expanded_judgements(samples: DataFrame, judgements: DataFrame, key: str, seen: str) -> DataFrame:
+    """samples with the decision on their name, and whether it is stale: what was judged (seen) isn't what the sample holds now, or nobody decided.
+
+    judgements: key, decision, seen, updated; of a name's the latest counts, a conflict of decisions gives none.
+    """
+    groups = judgements.groupBy(key).agg(F.max_by(F.struct("decision", F.col(seen).alias("_seen")), "updated").alias("m"), F.countDistinct("decision").alias("_n"))
+    out = samples.join(groups, key, "left")
+    ok = F.col("_n") == 1
+    return out.withColumns({"decision": F.when(ok, F.col("m.decision")), "conflict": F.coalesce(F.col("_n") > 1, F.lit(False)), "stale": F.coalesce(ok & ~F.col("m._seen").eqNullSafe(F.col(seen)), F.lit(False))}).drop("m", "_n")
+
+
+def changed_rows(now: DataFrame, then: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """key, problem of rows whose other columns aren't those that were handed out (changed), that are new or gone."""
+    a, b = (d.select(key, F.struct(*columns).alias(n)) for d, n in ((now, "_a"), (then, "_b")))
+    both = a.join(b, key, "full_outer")
+    problem = F.when(F.col("_b").isNull(), "new").when(F.col("_a").isNull(), "gone").when(~F.col("_a").eqNullSafe(F.col("_b")), "changed")
+    return both.select(key, problem.alias("problem")).where("problem is not null")
+
+
 def judgement_groups(df: DataFrame, key: str, decision: str, updated: str) -> DataFrame:
     """key, decision (latest), n, conflict, complete of the judgements of each unique name."""
     return df.groupBy(key).agg(F.count("*").alias("n"), F.max_by(decision, F.struct(updated, decision)).alias("decision"), (F.countDistinct(decision) > 1).alias("conflict"), F.every(F.col(decision).isNotNull()).alias("complete"))
@@ -260,9 +302,19 @@ def gold_problems(gold: DataFrame, manifest: DataFrame, key: str, label: str, la
     return both.select(key, F.explode(problems).alias("problem"))
 
 
-def refreshed_queue(queue: DataFrame, fresh: DataFrame, key: str, label: str) -> DataFrame:
-    """Annotated rows of the queue as they are, then the fresh rows of other keys; rows without a label go unless they are fresh. state: kept, refreshed or added."""
+def refreshed_queue(queue: DataFrame, fresh: DataFrame, key: str, label: str, stage: tuple[str, str] | None = None) -> DataFrame:
+    """Annotated rows of the queue as they are, then the fresh rows of other keys; rows without a label go unless they are fresh. state: kept, refreshed or added.
+
+    With a stage (column, name) only its rows are refreshed; those of other stages stay as they are.
+    """
+    other = None
+    if stage:
+        column, name = stage
+        other = queue.where(~F.col(column).eqNullSafe(F.lit(name)))
+        queue, fresh = queue.where(F.col(column) == name), fresh.withColumn(column, F.lit(name))
     kept = queue.where(F.col(label).isNotNull())
+    if other is not None:
+        kept = kept.unionByName(other)
     waiting = queue.where(F.col(label).isNull()).select(key).distinct().withColumn("waited", F.lit(True))
     new = fresh.join(kept.select(key), key, "left_anti").join(waiting, key, "left")
     new = new.withColumn("state", F.when(F.col("waited"), "refreshed").otherwise("added")).drop("waited")

@@ -395,13 +395,15 @@ def e8_gold_problems(spark, sf):
     return E.gold_problems(labels.union(extra), table(spark, sf, "documents").where("lang <> 'fr'"), "doc_id", "quality", [0, 1])
 
 
-@query("""with q as (select c_custkey uid, case when c_acctbal > 0 then c_mktsegment end label from customer where c_nationkey < 15), f as (select c_custkey uid from customer where c_nationkey >= 10)
-select uid, label, 'kept' state from q where label is not null union all
-select f.uid, null, case when w.uid is null then 'added' else 'refreshed' end from f left join (select uid from q where label is null) w on f.uid = w.uid where f.uid not in (select uid from q where label is not null)""")
+@query("""with q as (select c_custkey uid, case when c_acctbal > 0 then c_mktsegment end label, ['frame', 'sentiment'][c_custkey % 2 + 1] stage from customer where c_nationkey < 15), f as (select c_custkey uid from customer where c_nationkey >= 10),
+k as (select * from q where label is not null or stage = 'sentiment')
+select uid, label, stage, 'kept' state from k union all
+select f.uid, null, 'frame', case when w.uid is null then 'added' else 'refreshed' end from f left join (select uid from q where label is null and stage = 'frame') w on f.uid = w.uid where f.uid not in (select uid from k)""")
 def u5_refreshed_queue(spark, sf):
+    """The queue's rows of one stage refreshed, those of the other left alone."""
     c = table(spark, sf, "customer").withColumnRenamed("c_custkey", "uid")
-    queue = c.where("c_nationkey < 15").select("uid", F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("label"))
-    return E.refreshed_queue(queue, c.where("c_nationkey >= 10").select("uid"), "uid", "label").select("uid", "label", "state")
+    queue = c.where("c_nationkey < 15").select("uid", F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).alias("label"), F.when(F.col("uid") % 2 == 0, "frame").otherwise("sentiment").alias("stage"))
+    return E.refreshed_queue(queue, c.where("c_nationkey >= 10").select("uid"), "uid", "label", ("stage", "frame")).select("uid", "label", "stage", "state")
 
 
 @query("select year(o_orderdate)::int as year, count(*) n from orders group by all")
@@ -627,7 +629,7 @@ def m1_cache_probe(spark, sf):
     return rows.select("doc_id", F.col("value").isNotNull().alias("cached"))
 
 
-@query()
+@query("select doc_id, 'positive' label, 0.9::double confidence, 'ok' status from documents")
 def m3_sentiment_parse(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.concat(F.lit('{"sentiment": "Positive", "confidence": "0.9"} '), F.col("source")).alias("raw"))
     return M.parsed_sentiments(d, "raw").drop("raw")

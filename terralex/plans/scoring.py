@@ -235,3 +235,41 @@ def m5_sentiment_responses(spark, sf):
     raw = F.element_at(F.array(*(F.lit(r) for r, *_ in _RESPONSES)), (F.col("doc_id") % len(_RESPONSES) + 1).cast("int"))
     return M.parsed_sentiments(table(spark, sf, "documents").select("doc_id", raw.alias("raw")), "raw").drop("raw")
 
+
+# ---- annotation
+
+
+@query("""with r as (select lang, doc_id, sha256('42:' || doc_id) h, row_number() over (partition by lang order by sha256('42:' || doc_id), doc_id) > 10 extra from documents), c as (select * from r order by extra, h, doc_id limit 60) select lang, doc_id, (row_number() over (order by sha256('43:' || doc_id), doc_id))::int sample_id from c""")
+def e14_topped_up_sample(spark, sf):
+    return E.topped_up_sample(table(spark, sf, "documents").select("lang", "doc_id"), "doc_id", "lang", 10, 60)
+
+
+@query("""select s_suppkey id, unnest(case when s_suppkey <= 4 then ['ann', 'bob'] when s_suppkey % 2 = 1 then ['ann'] else ['bob'] end) rater from supplier""")
+def e14_shared_assignment(spark, sf):
+    return E.shared_assignment(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id")), "id", ["ann", "bob"], 4)
+
+
+@query("""with j as (select n_regionkey, arg_max(n_nationkey % 2, n_nationkey) d, count(distinct n_nationkey % 2) n, arg_max(n_nationkey, n_nationkey) seen from nation where n_nationkey % 5 <> n_regionkey and n_nationkey % 2 = n_regionkey % 2 group by n_regionkey)
+select n_nationkey, case when n = 1 then d end decision, coalesce(n > 1, false) conflict, coalesce(n = 1 and seen <> n_nationkey, false) stale from nation left join j using (n_regionkey)""")
+def e18_expanded_judgements(spark, sf):
+    n = table(spark, sf, "nation").withColumn("seen", F.col("n_nationkey"))
+    said = n.where("n_nationkey % 5 <> n_regionkey and n_nationkey % 2 = n_regionkey % 2").select("n_regionkey", (F.col("n_nationkey") % 2).alias("decision"), "seen", F.col("n_nationkey").alias("updated"))
+    return E.expanded_judgements(n, said, "n_regionkey", "seen").select("n_nationkey", "decision", "conflict", "stale")
+
+
+@query("""select coalesce(a.doc_id, b.doc_id) doc_id, case when b.doc_id is null then 'new' when a.doc_id is null then 'gone' else 'changed' end problem from (select doc_id, quality, toxic from labels where doc_id % 10 <> 1) a full join (select doc_id, case when doc_id % 4 = 0 then 9 else quality end quality, toxic from labels where doc_id % 10 <> 2) b using (doc_id) where a.doc_id is null or b.doc_id is null or a.quality is distinct from b.quality""")
+def e8_changed_rows(spark, sf):
+    lab = table(spark, sf, "labels")
+    then = lab.where("doc_id % 10 <> 2").withColumn("quality", F.when(F.col("doc_id") % 4 == 0, 9).otherwise(F.col("quality")))
+    return E.changed_rows(lab.where("doc_id % 10 <> 1"), then, "doc_id", ["quality", "toxic"])
+
+
+@query("""select c_nationkey, arg_min(c_custkey, {'r': case c_custkey % 3 when 0 then 99 when 1 then 1 else 0 end, 'k': c_custkey}) c_custkey from customer group by c_nationkey""")
+def p5_one_geometry(spark, sf):
+    c = table(spark, sf, "customer").select("c_nationkey", "c_custkey", F.when(F.col("c_custkey") % 3 == 1, "points").when(F.col("c_custkey") % 3 == 2, "polygons").otherwise("lines").alias("layer"))
+    return A.one_geometry(c, "c_nationkey", "layer", "c_custkey").select("c_nationkey", "c_custkey")
+
+
+@query("""with h as (select distinct o_custkey from orders) select 'input' kind, count(*) n from customer union all select 'assigned', count(*) from customer where c_custkey in (select o_custkey from h) union all select 'unassigned', count(*) from customer where c_custkey not in (select o_custkey from h)""")
+def j15_audit(spark, sf):
+    return A.assignment_audit(table(spark, sf, "customer"), table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")

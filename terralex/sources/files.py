@@ -145,9 +145,13 @@ def json_cache(spark: SparkSession, paths: list[str], value: str) -> DataFrame:
     return rows.select("j.key", "j.value").where("key is not null and value is not null")
 
 
-def boundaries(spark: SparkSession, paths: list[str], level_three: tuple[str, ...] = ("ITA",)) -> DataFrame:
-    """Land regions of the level that each country uses, with rings; fails if a country that needs level 3 has none."""
-    rows = spark.read.parquet(*paths).where("shape_class = 'land' and parent = 'nuts'")
+def boundaries(spark: SparkSession, paths: list[str], level_three: tuple[str, ...] = ("ITA",), supplement: str = "_italian_nuts3.parquet") -> DataFrame:
+    """Land regions of the level that each country uses, with rings; fails if a country that needs level 3 has none.
+
+    Beside each path a supplement of its name and the given ending is read too, if there is one.
+    """
+    more = [p.rstrip("/").removesuffix(".parquet") + supplement for p in paths]
+    rows = spark.read.parquet(*paths, *existing(spark, more)).where("shape_class = 'land' and parent = 'nuts'")
     wanted = F.when(F.col("country_id").isin(*level_three), "3").otherwise("2")
     have = [r[0] for r in rows.where("parent_subtype = '3'").select("country_id").distinct().collect()]
     need = [r[0] for r in rows.where(F.col("country_id").isin(*level_three)).select("country_id").distinct().collect()]
@@ -245,6 +249,13 @@ def checked_documents(spark: SparkSession, path: str, key: str, columns: list[st
     return rows
 
 
+def write_layers(df: DataFrame, path: str, point: str, polygon: str) -> None:
+    """Two tables below a path: rows with a polygon, and rows with a point only; rows with neither are in none."""
+    says = lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) != ""
+    df.where(says(polygon)).write.mode("overwrite").parquet(f"{path.rstrip('/')}/polygons")
+    df.where(says(point) & ~says(polygon)).write.mode("overwrite").parquet(f"{path.rstrip('/')}/points")
+
+
 def append_lines(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 

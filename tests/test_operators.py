@@ -1,6 +1,7 @@
 import difflib
 import json
 import random
+import struct
 import zipfile
 from collections import Counter
 
@@ -198,6 +199,30 @@ def test_readers(spark, tmp_path):
     assert [tuple(r) for r in W.decimal_comma(spark.createDataFrame([(0.5, 1)], "a double, b int")).collect()] == [("0,5", 1)]
 
 
+def test_boundaries_with_a_supplement(spark, tmp_path):
+    wkb = struct.pack("<BIII", 1, 3, 1, 4) + struct.pack("<8d", 0, 0, 1, 0, 1, 1, 0, 0)
+    kind = "country_id string, parent_id string, parent_name string, parent_subtype string, shape_class string, parent string, geometry binary"
+    row = lambda c, i, lv: (c, i, i, lv, "land", "nuts", wkb)
+    spark.createDataFrame([row("NLD", "NL33", "2"), row("NLD", "NL333", "3"), row("ITA", "ITI1", "2")], kind).write.parquet(str(tmp_path / "s.parquet"))
+    with pytest.raises(ValueError, match="ITA"):
+        W.boundaries(spark, [str(tmp_path / "s.parquet")])
+    spark.createDataFrame([row("ITA", "ITI17", "3")], kind).write.parquet(str(tmp_path / "s_italian_nuts3.parquet"))
+    got = W.boundaries(spark, [str(tmp_path / "s.parquet")]).collect()
+    assert {r["parent_id"]: r["rings"] for r in got} == {i: [[[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 0.0]]] for i in ("NL33", "ITI17")}
+
+
+def test_layers_are_written_apart(spark, tmp_path):
+    W.write_layers(spark.createDataFrame([(1, "POINT (1 2)", None), (2, "POINT (1 2)", "POLYGON (())"), (3, "", "")], "id int, p string, q string"), str(tmp_path / "l"), "p", "q")
+    assert [[r["id"] for r in spark.read.parquet(str(tmp_path / "l" / d)).collect()] for d in ("points", "polygons")] == [[1], [2]]
+
+
+def test_a_merge_with_conflicts_changes_nothing(spark):
+    base, ours, theirs = (spark.createDataFrame([(1, a), (2, b)], "k int, v int") for a, b in ((0, 0), (1, 0), (0, 5)))
+    assert {(r["k"], r["v"]) for r in E.whole_merge(base, ours, theirs, "k", "v").collect()} == {(1, 1), (2, 5)}
+    with pytest.raises(ValueError, match="1 rows"):
+        E.whole_merge(base, ours, spark.createDataFrame([(1, 7), (2, 5)], "k int, v int"), "k", "v")
+
+
 def test_geometry():
     two = [box(0, 0, 1, 1), box(2.1234567, 0, 3, 1)]
     assert polygon_wkt(two).startswith("MULTIPOLYGON") and "2.1234567" in polygon_wkt(two)
