@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Distinct pre-tokens whose tokens, and words whose hashes, a Python worker keeps at once; a full memo is emptied, never refused.
@@ -27,9 +27,11 @@ MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where a session has none (tests), one of its own is set."""
+    """The folder in spark.checkpoint.dir; where a session of one process has none (tests), one of its own is set. A cluster must name one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="terralex-")
         spark.conf.set("spark.checkpoint.dir", root)
         atexit.register(_remove, spark, root)
@@ -134,6 +136,17 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def with_rank(rows: DataFrame, name: str, value: Column, line: list[int]) -> DataFrame:
+    """Adds how many numbers of a sorted line are less than a row's value, found by halving."""
+    numbers = F.lit(line).cast("array<bigint>")
+    rows = rows.withColumn("_value", value).withColumn(name, F.lit(0))
+    step = 1 << len(line).bit_length() >> 1
+    while step:  # one projection for each step: nested in one expression, each would hold the one before twice
+        rows = rows.withColumn(name, F.when(F.get(numbers, F.col(name) + F.lit(step - 1)) < F.col("_value"), F.col(name) + F.lit(step)).otherwise(F.col(name)))
+        step //= 2
+    return rows.drop("_value")
+
+
 def byte_of_char() -> dict[str, int]:
     """The bytes that byte-level vocabularies write as printable characters: the others follow from 256 on."""
     keep = [*range(33, 127), *range(161, 173), *range(174, 256)]

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terralex.llm.common import Scratch
+from terralex.llm.common import Scratch, with_rank
 
 #: Virtual nodes of a shard; rows of an arc are numbered in so many cells by a hash of doc_id.
 VIRTUAL_NODES, SPREAD = 128, 64
@@ -47,14 +47,8 @@ def ring(shards: int, virtual_nodes: int) -> list[tuple[int, int]]:
 
 
 def with_arc(rows: DataFrame, point: Column, points: list[int]) -> DataFrame:
-    """Adds column arc: the number of the first of the sorted points at or clockwise of a row's, found by halving."""
-    line = F.lit(points).cast("array<bigint>")
-    rows = rows.withColumn("point", point).withColumn("arc", F.lit(0))
-    step = 1 << (len(points).bit_length() - 1)
-    while step:  # one projection for each step: nested in one expression, each would hold the one before twice
-        rows = rows.withColumn("arc", F.when(F.get(line, F.col("arc") + F.lit(step - 1)) < F.col("point"), F.col("arc") + F.lit(step)).otherwise(F.col("arc")))
-        step //= 2
-    return rows.withColumn("arc", F.pmod("arc", F.lit(len(points)))).drop("point")
+    """Adds column arc: the number of the first of the sorted points at or clockwise of a row's."""
+    return with_rank(rows, "arc", point, points).withColumn("arc", F.pmod("arc", F.lit(len(points))))
 
 
 def dealt(counts: list[int], owner: list[int], shards: int) -> list[list[tuple[int, int]]]:

@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from terralex.llm.common import with_rank
+
 K, W = 12, 12
 #: Characters of the shortest text that has a whole window.
 LEAST = W + K - 1
@@ -117,34 +119,25 @@ def edited_fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame
     a doc_id follow each other by text, null doc_ids come last, a null text counts as an empty one.
     Other columns are ignored; an empty table gives no rows.
 
-    Rows are dealt into `ranges` ranges of doc_id by quantiles, so that one exchange brings each row
-    beside its next; the first row of each range, which the range before it needs, is fetched by its id.
+    Rows are dealt into `ranges` ranges of doc_id by quantiles (four to a shuffle partition), so that one exchange
+    brings each row beside its next; the first row of each range, which the range before it needs, is fetched by its
+    id. The driver holds a number for each range.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    ranges = ranges or min(1000, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], 10_000)).first()[0]
-    cuts = sorted(set(cuts or []))
-    below = F.size(F.filter(F.lit(cuts).cast("array<bigint>"), lambda c: c > F.col("doc_id"))) if cuts else F.lit(0)
-    part = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(below).cast("int")
-    heads = rows.select(part.alias("part"), "doc_id").groupBy("part").agg(F.max("doc_id").alias("doc_id")).orderBy("part").collect()  # a row per range
-    if not heads:
-        heads = [(0, None)]
-    before = {(r[1]): heads[i - 1][0] for i, r in enumerate(heads)}
-    head = F.lit(None).cast("int")
-    for doc_id, p in before.items():
-        if doc_id is None:
-            head = F.when(F.col("doc_id").isNull(), F.lit(p)).otherwise(head)
-    ids = {d: p for d, p in before.items() if d is not None}
-    if ids:
-        place = F.create_map(*[F.lit(x) for d, p in ids.items() for x in (d, p)])
-        head = F.coalesce(F.try_element_at(place, F.col("doc_id")), head)
-    wanted = F.col("doc_id").isin(list(ids)) | (F.col("doc_id").isNull() if None in before else F.lit(False))
-    first = rows.where(wanted).withColumn("part", head).groupBy("part").agg(F.min("text").alias("head"))
+    ranges = ranges or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = rows.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)] or [0.5], max(10_000, 20 * ranges))).first()[0]
+    cuts = sorted(~c for c in set(cuts or []))  # ranges go down: ~x = -x - 1 turns the order round
+    own = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.col("_below")).cast("int")
+    ranged = with_rank(rows, "_below", F.bitwise_not("doc_id"), cuts).withColumn("part", own).drop("_below")
+    heads = ranged.groupBy("part").agg(F.max("doc_id").alias("head_id")).orderBy("part").collect()  # a row per range
+    firsts = [(h["head_id"], heads[i - 1]["part"]) for i, h in enumerate(heads)]
+    first = rows.join(F.broadcast(spark.createDataFrame(firsts, "head_id long, part int")), F.col("doc_id").eqNullSafe(F.col("head_id")))
+    first = first.groupBy("part").agg(F.min("text").alias("head"))
     first = first.withColumn("head_chosen", fingerprint(F.col("head")))
     order = Window.partitionBy("part").orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    dealt = fingerprints(rows.withColumn("part", part).repartition("part"))  # texts alone are shuffled
+    dealt = fingerprints(ranged.repartition("part"))  # texts alone are shuffled
     dealt = dealt.withColumn("next", F.lead(F.struct("text", "chosen")).over(order)).join(first, "part", "left")
     dealt = dealt.withColumns({"next_text": F.coalesce("next.text", "head"), "next_chosen": F.coalesce("next.chosen", "head_chosen")})
     n = F.length("text")
