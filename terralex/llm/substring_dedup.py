@@ -3,11 +3,11 @@
 1. A window is 20 consecutive words. Its anchor is the least hash of its 6-word runs: equal windows
    have equal anchors. Consecutive windows of one anchor form a stretch (seven windows on average),
    and only one narrow row for each stretch is shuffled to find the anchors that recur.
-2. The words of stretches with a recurring anchor are dealt by anchor and sorted in reading order, so
-   an anchor's stretches lie together. Passages are confirmed word by word: what recurs is compiled
-   into Aho-Corasick automata over word numbers, one for each run of stretches of bounded size
-   (the automaton's shard), and the stretches are streamed through it. The first occurrence of a
-   window stays, each later one is reported.
+2. Equal stretches are one: the first is kept, of all others every window occurred before. Where an
+   anchor has different stretches, their words are dealt by anchor and sorted in reading order, so they
+   lie together. Passages are confirmed word by word: what recurs is compiled into Aho-Corasick automata
+   over word numbers, one for each run of stretches of bounded size (the automaton's shard), and the
+   stretches are streamed through it. The first occurrence of a window stays, each later one is reported.
 3. Reported word ranges go back to their documents, where covered words are removed.
 
 A document never meets an automaton that can't match it, so work grows with the text and not with
@@ -47,17 +47,21 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - done)], x[width - done :]) if width > done else x
 
 
-def stretches(words: list[bytes], memo: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of each stretch: anchor, first window, number of windows, whether its document holds the anchor's run again."""
+def stretches(words: list[bytes], memo: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each stretch: anchor, hash of all its words, first window, number of windows, whether its document holds the anchor's run again."""
     if len(words) < WINDOW:
-        return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
-    grams = gram_hashes(memo.of(words), GRAM)
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, bool)
+    hashes = memo.of(words)
+    grams = gram_hashes(hashes, GRAM)
     least = sliding_min(grams, SPAN)
     starts = np.r_[0, np.flatnonzero(least[1:] != least[:-1]) + 1]
+    ns = np.diff(np.r_[starts, len(least)])
     line = np.sort(grams)
     same = line[1:] == line[:-1]
     again = np.isin(least[starts], line[1:][same]) if same.any() else np.zeros(len(starts), bool)
-    return least[starts], starts, np.diff(np.r_[starts, len(least)]), again
+    raw = memoryview(hashes).cast("B")
+    contents = [xxhash.xxh3_64_intdigest(raw[8 * a : 8 * b]) for a, b in zip(starts.tolist(), (starts + ns + (WINDOW - 1)).tolist(), strict=True)]
+    return least[starts], np.array(contents, np.uint64), starts, ns, again
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,9 +71,9 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         found = [stretches((t or "").encode().split(), memo) for t in batch.column("text").to_pylist()]
         dids, ths = (np.repeat(batch.column(c).to_numpy(), [len(f[0]) for f in found]) for c in ("did", "th"))
-        anchors, starts, ns, again = (np.concatenate([f[i] for f in found]) for i in range(4))
-        columns = [pa.array(anchors.astype(np.uint64).view(np.int64)), pa.array(dids, pa.int64()), pa.array(ths, pa.int64()), pa.array(starts, pa.int32()), pa.array(ns.astype(np.int16), pa.int16()), pa.array(again, pa.bool_())]
-        yield pa.record_batch(columns, ["anchor", "did", "th", "start", "n", "again"])
+        anchors, contents, starts, ns, again = (np.concatenate([f[i] for f in found]) for i in range(5))
+        columns = [*(pa.array(x.view(np.int64)) for x in (anchors, contents)), pa.array(dids, pa.int64()), pa.array(ths, pa.int64()), pa.array(starts, pa.int32()), pa.array(ns, pa.int32()), pa.array(again, pa.bool_())]
+        yield pa.record_batch(columns, ["anchor", "content", "did", "th", "start", "n", "again"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,25 +233,30 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
     docs: did long, th long (a hash of the text), text string; rows of equal did and th are one document.
     """
-    anchors = scratch.cut(docs.mapInArrow(released(_anchors), "anchor long, did long, th long, start int, n short, again boolean"))
-    recurring = scratch.cut(anchors.groupBy("anchor").agg(F.count("*").alias("k"), F.max("again").alias("again")).where("k > 1 or again").select("anchor", (F.col("k") > HOT).alias("hot")))
-    marked = scratch.cut(anchors.join(recurring, "anchor").select(F.col("anchor").alias("key"), "did", "th", "start", "n", "hot"))
-    scratch.drop(anchors, recurring)
-    groups = marked.where("not hot").drop("hot")
-    hot = marked.where("hot").drop("hot")
+    place = F.struct("did", "th", "start")
+    anchors = scratch.cut(docs.mapInArrow(released(_anchors), "anchor long, content long, did long, th long, start int, n int, again boolean"))
+    recurring = anchors.groupBy("anchor").agg(F.count("*").alias("k"), F.max("again").alias("again")).where("k > 1 or again").select("anchor")
+    marked = scratch.cut(anchors.join(recurring, "anchor"))
+    scratch.drop(anchors)
+    scratch.release_shuffles()
+    # equal stretches once: the first stays for the automata, all windows of the others occurred before
+    contents = scratch.cut(marked.groupBy("anchor", "content").agg(F.count("*").alias("k"), F.min(F.struct("did", "th", "start", "n")).alias("first"), F.max("again").alias("again")))
+    copies = marked.join(contents.where("k > 1").select("anchor", "content", "first"), ["anchor", "content"]).where(place != F.struct("first.did", "first.th", "first.start"))
+    copies = copies.select("did", "th", F.col("start").alias("a"), F.expr(f"start + n + {WINDOW - 1}").alias("b"))
+    open_ = contents.groupBy("anchor").agg(F.count("*").alias("m"), F.max("again").alias("more")).where("m > 1 or more").select("anchor", (F.col("m") > HOT).alias("hot"))
+    firsts = scratch.cut(contents.join(open_, "anchor").select(F.col("anchor").alias("key"), "first.*", "hot"))
+    groups, hot = (firsts.where(c).drop("hot") for c in ("not hot", "hot"))
     if not hot.isEmpty():
-        # a run of words that very many stretches hold: their windows one by one, and groups of equal windows in parts that each hold the first
+        # a run of words that very many different stretches hold: their windows one by one, and groups of equal windows in parts that each hold the first
         windows = scratch.cut(_marks(docs, hot).mapInArrow(released(_windows), "key long, did long, th long, start int"))
-        place = F.struct("did", "th", "start")
         first = windows.groupBy("key").agg(F.count("*").alias("k"), F.min(place).alias("first")).where("k > 1").withColumn("parts", F.expr(f"(k + {HOT - 1}) div {HOT}"))
-        one = F.lit(1).cast("short").alias("n")
+        one = F.lit(1).alias("n")
         later = windows.join(first, "key").where(place != F.col("first")).select(F.xxhash64("key", F.expr("pmod(xxhash64(did, th, start), parts)")).alias("key"), "did", "th", "start", one)
-        firsts = first.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select(F.xxhash64("key", "part").alias("key"), "first.did", "first.th", "first.start", one)
-        groups = groups.union(later).union(firsts)
-    scratch.release_shuffles()
+        earliest = first.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select(F.xxhash64("key", "part").alias("key"), "first.did", "first.th", "first.start", one)
+        groups = groups.union(later).union(earliest)
     parts = _marks(docs, groups).mapInArrow(released(_contents), "anchor long, did long, th long, start int, words binary")
     parts = parts.repartition("anchor").sortWithinPartitions("anchor", "did", "th", "start")
-    found = scratch.cut(parts.mapInArrow(released(_located), "did long, th long, a int, b int"))
+    found = scratch.cut(parts.mapInArrow(released(_located), "did long, th long, a int, b int").union(copies))
     scratch.release_shuffles()
     return found.groupBy("did", "th").agg(F.collect_set(F.struct("a", "b")).alias("ranges"))
 
