@@ -199,15 +199,14 @@ class Packer:
                 break
             seed = cut if cut is not None and unused[cut] else at
             place(seed)
-            near = []
-            if self.used:
+            near = [seed]
+            while self.used and near:  # ask again until the window is full or nothing unused scores
                 near = [i for i in index.neighbours(seed, unused) if i != seed]
                 for i in near:
                     if self.used and rest(i) < WIDTH - self.used:
                         place(i)
-            if self.used:
                 left = [i for i in near if unused[i]]
-                if left:
+                if self.used and left:
                     cut = left[0]
                     place(cut)
 

@@ -160,6 +160,25 @@ def test_stages_hand_clashing_columns_through(spark):
             assert set(kept) == {tuple(r[c] for c in names[2:]) for r in given.collect()}
 
 
+def test_stage_of_near_duplicates(spark):
+    import corpus_pipeline
+
+    names = ["doc_id", "text", "digest", "kept", "component_id", "n_chars"]
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(d, t) for d, t in EDGE] + [(20, near), (21, near + " end"), (22, near.replace("w30", "x")), (None, None), (30, " ".join(f"u{i}" for i in range(60)))]
+    docs = spark.createDataFrame([(d, t, "a", "b", "c", 0) for d, t in rows], "doc_id long, text string, digest string, kept string, component_id string, n_chars int")
+    got = corpus_pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == names
+    left = sorted((r["doc_id"] for r in got.collect()), key=str)
+    assert left == sorted([d for d, _ in rows if d not in (21, 22)], key=str)
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), "").count() == 0
+    masked = corpus_pipeline.personal_data(spark, docs, "")
+    assert masked.columns == names and masked.count() == len(rows)
+    assert {r["n_chars"] for r in masked.where("doc_id = 20").collect()} == {len(near)}
+    pieces = corpus_pipeline.packing(spark, docs, "")
+    assert pieces.select("doc_id").distinct().count() == len({d for d, _ in rows}) and corpus_pipeline.packing(spark, docs.limit(0), "").count() == 0
+
+
 def test_token_counts_equal_the_library(docs):
     t = Tokenizer.from_file(P.path("word_bpe_49k.json"))
     want = sorted((str(d), len(x.encode()), len(t.encode(x, add_special_tokens=False).ids)) for d, x in pairs(docs))
@@ -258,6 +277,29 @@ def test_pii_spans(spark):
     assert pii.masked("a 1.2.3.4 b", [("ip", 2, 9)]) == "a <IP> b"
 
 
+def test_a_window_is_filled_with_its_seeds_neighbours():
+    """Retrieval against BM25 in plain Python: what fills the first seed's window are its best neighbours."""
+    rng = np.random.default_rng(8)
+    tails = [rng.integers(1000 * (i % 4), 1000 * (i % 4) + 60, 40).astype(np.uint16) for i in range(200)]
+    df = Counter(int(t) for tail in tails for t in set(tail.tolist()))
+    idf = np.zeros(1 << 16)
+    for t, n in df.items():
+        idf[t] = np.log1p((len(tails) - n + 0.5) / (n + 0.5))
+    mean = 40.0
+    tf = [Counter(tail.tolist()) for tail in tails]
+    weight = [{t: idf[t] * n * (packing.K1 + 1) / (n + packing.K1) for t, n in c.items()} for c in tf]
+    query = sorted(weight[0], key=lambda t: (-weight[0][t], t))[: packing.QUERY]
+    score = {i: sum(weight[i].get(t, 0.0) for t in query) for i in range(1, 200)}
+    index = packing.Index(tails, idf, mean)
+    got = index.neighbours(0, np.r_[False, np.ones(199, bool)])
+    best = sorted(score.values(), reverse=True)[: packing.NEIGHBOURS]
+    assert np.allclose([score[i] for i in got], best) and all(i % 4 == 0 for i in got)
+    packer = packing.Packer(0, idf, mean)
+    packer.shard([(i, 40, t) for i, t in enumerate(tails)])
+    first = [r for r in packer.out if r[5] == packer.out[0][5]]
+    assert sum(r[2] for r in first) == packing.WIDTH and all(r[0] % 4 == 0 for r in first)
+
+
 def base_by_contract(text):
     """Spans of the contract's patterns as they are written there, with its checks."""
     found = []
