@@ -150,28 +150,41 @@ def first_candidate(c: Column) -> Column:
     return F.coalesce(F.get(F.filter(F.transform(F.split(or_empty(c), r"[,/;&]|\s+en\s+"), lambda x: F.trim(x)), lambda x: x != ""), 0), F.lit(""))
 
 
-def document_fallback(df: DataFrame, scope: list[str]) -> DataFrame:
+def document_fallback(df: DataFrame, scope: list[str], answers: DataFrame | None = None, status: str | None = None) -> DataFrame:
     """Fills location for rows without a specific one from the other rows of their document.
 
-    df: document, row_order, location, granularity. One distinct specific place in the document is
-    copied; else one distinct country; else the scope's only country, or none with a flag to review.
+    df: document, row_order, location, granularity, and a status if its column is named: only rows with ok or empty are
+    filled. One distinct specific place in the document is copied; else one distinct country; else what was answered for
+    the whole document (answers: document, location, granularity); else the scope's only country, or none. What isn't
+    the document's own is to be reviewed, with the reason.
     """
     key = normal_key(F.col("location"))
-    empty = key.isin(NOTHING) | F.lower(or_empty(F.col("granularity"))).isin("none", "")
-    country = ~empty & (F.lower("granularity") == "country")
-    specific = ~empty & ~country
+    level = F.lower(F.trim(or_empty(F.col("granularity"))))
+    empty = key.isin(NOTHING) | level.isin("none", "")
+    country = ~empty & (level == "country")
     doc = Window.partitionBy("document")
-    df = df.withColumns({"_key": key, "_specific": specific, "_country": country})
+    done = F.col(status).isin("ok", "empty") if status else F.lit(True)
+    df = df.withColumns({"_key": F.when(country, F.coalesce(country_name(F.col("location")), key)).otherwise(key), "_specific": ~empty & ~country, "_country": country, "_done": done})
     pick = lambda flag, value: F.min_by(F.when(F.col(flag), value), F.when(F.col(flag), F.col("row_order"))).over(doc)
     distinct = lambda flag: F.size(F.collect_set(F.when(F.col(flag), F.col("_key"))).over(doc))
-    df = df.withColumns({"_ns": distinct("_specific"), "_nc": distinct("_country"), "_s": pick("_specific", F.struct("location", "granularity")), "_c": pick("_country", F.struct("location", "granularity"))})
-    open_ = ~F.col("_specific")
+    df = df.withColumns({"_ns": distinct("_specific"), "_nc": distinct("_country"), "_s": pick("_specific", F.struct("location", "granularity")), "_c": pick("_country", F.col("_key"))})
+    if answers is None:
+        df = df.withColumn("_a", F.lit(None).cast("struct<location: string, granularity: string>"))
+    else:
+        said = ~normal_key(F.col("location")).isin(NOTHING) & ~F.lower(F.trim(or_empty(F.col("granularity")))).isin("none", "")
+        df = df.join(answers.where(said).select("document", F.struct("location", "granularity").alias("_a")), "document", "left")
+    open_ = ~F.col("_specific") & F.col("_done")
     by_place, by_country = open_ & (F.col("_ns") == 1), open_ & (F.col("_ns") == 0) & (F.col("_nc") == 1)
-    only = F.lit(scope[0] if len(scope) == 1 else "NONE")
+    by_answer = open_ & ~by_place & ~by_country & F.col("_a").isNotNull()
+    left = open_ & ~by_place & ~by_country & ~by_answer
+    one = len(scope) == 1
+    several = [] if one else [f"no single country-level fallback is possible for multi-country scope ({', '.join(scope)})"]
+    reason = F.when(F.col("_ns") > 1, "multiple_document_locations").otherwise("no_document_paragraph_locations")
     return df.select(
         "document", "row_order",
-        F.when(by_place, F.col("_s.location")).when(by_country, F.col("_c.location")).when(open_, only).otherwise(F.col("location")).alias("location"),
-        F.when(by_place, F.col("_s.granularity")).when(by_country, F.lit("country")).when(open_, F.lit("country" if len(scope) == 1 else "none")).otherwise(F.col("granularity")).alias("granularity"),
-        F.when(by_place, "document_single_location").when(by_country, "country_all_document_locations").when(open_, "country_fallback" if len(scope) == 1 else "multi_country_fallback").otherwise("paragraph").alias("location_source"),
-        (open_ & ~by_place & ~by_country).alias("needs_review"),
+        F.when(by_place, F.col("_s.location")).when(by_country, F.col("_c")).when(by_answer, F.col("_a.location")).when(left, scope[0] if one else "NONE").otherwise(F.col("location")).alias("location"),
+        F.when(by_place, F.col("_s.granularity")).when(by_country, "country").when(by_answer, F.col("_a.granularity")).when(left, "country" if one else "none").otherwise(F.col("granularity")).alias("granularity"),
+        F.when(by_place, "document_single_location").when(by_country, "country_all_document_locations").when(by_answer, "document_llm").when(left, "country_fallback" if one else "multi_country_fallback").when(F.col("_specific"), "paragraph").alias("location_source"),
+        (by_answer | left).alias("needs_review"),
+        F.when(by_answer, reason).when(left, F.concat_ws(";", reason, F.lit("document_llm_no_location"), *(F.lit(x) for x in several))).alias("review_reason"),
     )

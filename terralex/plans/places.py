@@ -66,6 +66,24 @@ def c12_best_mention(spark, sf):
     return C.best_mention(rows, "doc_id", "place", "text", "importance").select("doc_id", "place", F.round("score", 6).alias("score"))
 
 
+_TWO = """rows as (select c_custkey row_order, c_custkey // 4 as document, ['Delft', 'Utrecht', 'Duitsland', 'NONE', 'Germany', 'NONE', 'NONE'][c_custkey % 7 + 1] location, ['city', 'city', 'country', 'none', 'country', 'none', 'none'][c_custkey % 7 + 1] granularity, case when c_custkey % 13 = 0 then 'error' else 'ok' end status from customer),
+g as (select document, count(distinct location) filter (where granularity = 'city') ns, count(*) filter (where granularity = 'country') nc, arg_min(location, row_order) filter (where granularity = 'city') s from rows group by document),
+j as (select r.*, ns, s, case when granularity = 'city' then 'paragraph' when status = 'error' then null when ns = 1 then 'document_single_location' when ns = 0 and nc > 0 then 'country_all_document_locations' when document % 3 = 0 then 'document_llm' else 'multi_country_fallback' end src from rows r join g using (document))"""
+
+
+@query(f"""with {_TWO} select document, row_order, case src when 'document_single_location' then s when 'country_all_document_locations' then 'Germany' when 'document_llm' then 'Leiden' when 'multi_country_fallback' then 'NONE' else location end as location,
+case src when 'document_single_location' then 'city' when 'country_all_document_locations' then 'country' when 'document_llm' then 'municipality' when 'multi_country_fallback' then 'none' else granularity end granularity, src location_source, coalesce(src in ('document_llm', 'multi_country_fallback'), false) needs_review,
+case when src in ('document_llm', 'multi_country_fallback') then case when ns > 1 then 'multiple_document_locations' else 'no_document_paragraph_locations' end || case src when 'document_llm' then '' else ';document_llm_no_location;no single country-level fallback is possible for multi-country scope (Germany, Netherlands)' end end review_reason from j""")
+def c8_document_answers(spark, sf):
+    """All branches: unfinished rows, one place, one country by two names, an answer for the document, none."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf, "customer").select(
+        F.expr("c_custkey div 4").alias("document"), k.alias("row_order"), _pick(["Delft", "Utrecht", "Duitsland", "NONE", "Germany", "NONE", "NONE"], k % 7).alias("location"),
+        _pick(["city", "city", "country", "none", "country", "none", "none"], k % 7).alias("granularity"), F.when(k % 13 == 0, "error").otherwise("ok").alias("status"))
+    said = rows.select("document").distinct().select("document", F.when(F.col("document") % 3 == 0, "Leiden").otherwise("NONE").alias("location"), F.lit("municipality").alias("granularity"))
+    return C.document_fallback(rows, ["Germany", "Netherlands"], said, "status")
+
+
 # ---- the cascade
 
 PLACES = ["Kenia", "Curaçao", "Noplace", "Hill", "Rijswijk", "Toscana", "alias", "ghost", "Delft", "Essen", "Unknown", "Boxtel", "Italy", "DACH", ""]

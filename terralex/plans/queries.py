@@ -498,7 +498,7 @@ _DOC = """rows as (select c_custkey, c_custkey // 3 as document, c_custkey row_o
 
 @query(f"""with {_DOC}, g as (select document, count(distinct location) filter (where granularity = 'city') ns, count(distinct location) filter (where granularity = 'country') nc, arg_min(location, row_order) filter (where granularity = 'city') s, arg_min(location, row_order) filter (where granularity = 'country') c from rows group by document),
 j as (select r.*, ns, nc, s, c, case when granularity = 'city' then 'paragraph' when ns = 1 then 'document_single_location' when ns = 0 and nc = 1 then 'country_all_document_locations' else 'country_fallback' end location_source from rows r join g using (document))
-select document::bigint as document, row_order, case location_source when 'paragraph' then location when 'document_single_location' then s when 'country_all_document_locations' then c else 'Italy' end as location, case location_source when 'paragraph' then granularity when 'document_single_location' then 'city' else 'country' end as granularity, location_source, location_source = 'country_fallback' needs_review from j""")
+select document::bigint as document, row_order, case location_source when 'paragraph' then location when 'document_single_location' then s when 'country_all_document_locations' then c else 'Italy' end as location, case location_source when 'paragraph' then granularity when 'document_single_location' then 'city' else 'country' end as granularity, location_source, location_source = 'country_fallback' needs_review, case when location_source = 'country_fallback' then case when ns > 1 then 'multiple_document_locations' else 'no_document_paragraph_locations' end || ';document_llm_no_location' end review_reason from j""")
 def c8_document_fallback(spark, sf):
     k = F.col("c_custkey") % 5
     rows = table(spark, sf, "customer").select(
