@@ -229,3 +229,74 @@ def assignment_audit(points: DataFrame, inside: DataFrame, point: str) -> DataFr
     n = both.agg(F.count("*").alias("input"), F.count("_in").alias("assigned"))
     kinds = F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("n")) for k, v in (("input", F.col("input")), ("assigned", F.col("assigned")), ("unassigned", F.col("input") - F.col("assigned")))))
     return n.select(F.explode(kinds).alias("k")).select("k.*")
+
+
+def extreme_matrix(rows: DataFrame, pair: DataFrame, keys: list[str], item: str, items: list[str]) -> DataFrame:
+    """item, position, low, high and their shares: how often the rows of the two extreme regions (pair: keys, role) hold each item, in the order given."""
+    sums = [F.sum(F.when((F.col(item) == i) & (F.col("role") == r), 1).otherwise(0)).cast("long").alias(f"_{r}{n}") for n, i in enumerate(items) for r in ("low", "high")]
+    one = rows.join(pair.select(*keys, "role"), keys).agg(*sums)
+    total = {r: reduce(lambda a, b: a + b, (F.coalesce(f"_{r}{n}", F.lit(0)) for n in range(len(items)))) for r in ("low", "high")}
+    cells = [F.struct(F.lit(i).alias(item), F.lit(n + 1).alias("position"), *(x for r in ("low", "high") for x in (F.coalesce(f"_{r}{n}", F.lit(0)).alias(r), F.coalesce(share(F.col(f"_{r}{n}"), total[r]), F.lit(0.0)).alias(f"{r}_share")))) for n, i in enumerate(items)]
+    return one.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+
+
+def map_scores(df: DataFrame, code: str, name: str) -> DataFrame:
+    """area, n_units, balance by a region's code, or its name where it has none; a missing balance is 0."""
+    area = F.coalesce(F.nullif(F.trim(F.col(code)), F.lit("")), F.col(name))
+    out = balances(df.withColumn("area", area).where("area is not null"), ["area"])
+    return out.select("area", "n_units", F.coalesce("balance", F.lit(0.0)).alias("balance"))
+
+
+def stacked(df: DataFrame, metrics: dict[str, Column]) -> DataFrame:
+    """metric, value: global figures one below the other, as text."""
+    one = df.agg(*(c.cast("string").alias(f"_{i}") for i, c in enumerate(metrics.values())))
+    return one.select(F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"_{i}").alias("value")) for i, m in enumerate(metrics)))).alias("m")).select("m.*")
+
+
+def document_key(df: DataFrame, candidates: list[str], parts: list[str]) -> Column:
+    """A document's key: the first of the columns that rows have, else the parts that they have, joined."""
+    for c in candidates:
+        if c in df.columns:
+            return F.col(c).cast("string")
+    return F.concat_ws("||", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in parts if c in df.columns))
+
+
+def tracked(df: DataFrame, key: Column, group: str, groups: list[str], steps: dict[str, Column]) -> DataFrame:
+    """step, name, and rows and distinct documents of each group in columns of its own.
+
+    steps: how many rows a row of df stands for at each step. All steps are counted in one pass: by document, then by group.
+    """
+    weights = [w.cast("long").alias(f"_{i}") for i, w in enumerate(steps.values())]
+    per = df.select(group, key.alias("_key"), *weights).groupBy(group, "_key").agg(*(F.sum(f"_{i}").alias(f"_{i}") for i in range(len(steps))))
+    of = lambda g, c: F.sum(F.when(F.col(group) == g, c).otherwise(0)).cast("long")
+    sums = [x for i in range(len(steps)) for g in groups for x in (of(g, F.col(f"_{i}")).alias(f"_{i}_{g}_r"), of(g, (F.col(f"_{i}") > 0).cast("int")).alias(f"_{i}_{g}_d"))]
+    cells = [F.struct(F.lit(i + 1).alias("step"), F.lit(name).alias("name"), *(F.coalesce(f"_{i}_{g}_{k}", F.lit(0)).alias(f"{g}_{n}") for g in groups for k, n in (("r", "rows"), ("d", "documents")))) for i, name in enumerate(steps)]
+    return per.agg(*sums).select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+
+
+def ranked_wide(ranked: DataFrame, groups: list[str], value: str, k: int) -> DataFrame:
+    """A row for each group with the values of ranks 1 to k in columns first to last."""
+    return ranked.groupBy(*groups).agg(*(F.max(F.when(F.col("rank") == i, F.col(value))).alias(f"rank_{i}") for i in range(1, k + 1)))
+
+
+def keywords_wide(hits: DataFrame, group: str, keyword: str, unit: str, k: int = 10) -> DataFrame:
+    """A row for each group with its k most frequent keywords, each with its share of the group's units."""
+    n = hits.groupBy(group, keyword).agg(F.countDistinct(unit).alias("n"))
+    total = hits.groupBy(group).agg(F.countDistinct(unit).alias("total"))
+    top = top_per_group(n, [group], [F.desc("n"), keyword], k).join(total, group)
+    label = F.concat(F.col(keyword), F.lit(" ("), F.format_string("%.1f", F.round(share(F.col("n"), F.col("total")), 1)), F.lit("%)"))
+    return ranked_wide(top.withColumn("label", label), [group], "label", k)
+
+
+def monthly(df: DataFrame, month: str, value: str) -> DataFrame:
+    """month, total, its share of all in percent, the share smoothed over ten months, and the year's total. One row for each month of df."""
+    out = df.withColumn("pct", share(F.col(value), F.sum(value).over(Window.partitionBy())))
+    out = smoothed(out, month, "pct")
+    return out.withColumn("year_total", F.sum(value).over(Window.partitionBy(F.substring(month, 1, 4))))
+
+
+def outliers(df: DataFrame, key: str, value: str, least: float = 20.0, k: int = 10) -> tuple[DataFrame, DataFrame]:
+    """n, mean, median, p90, p95, p99, longest, threshold (the 99th percentile, `least` at least); and the k rows of the greatest values."""
+    p = lambda q: F.percentile(value, q)
+    stats = df.agg(F.count("*").alias("n"), F.avg(value).alias("mean"), p(0.5).alias("median"), p(0.9).alias("p90"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.max(value).alias("longest"))
+    return stats.withColumn("threshold", F.greatest(F.lit(least), F.col("p99"))), df.orderBy(F.desc_nulls_last(value), key).limit(k)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terralex.functions.text import normal_key, or_empty
-from terralex.operators.countries import NOTHING, country_candidates, country_of_id, first_candidate, scope_of
+from terralex.operators.countries import NOTHING, country_candidates, country_name, country_of_id, first_candidate, scope_of
 from terralex.operators.spatial import points_in_areas
 
 #: What a place consists of.
@@ -79,6 +79,21 @@ def region_keys(regions: DataFrame) -> DataFrame:
     return rows.where("key <> ''").groupBy("key").agg(F.min_by("region", "region.region_id").alias("region"))
 
 
+def with_exact_regions(df: DataFrame, regions: DataFrame, countries: DataFrame, scope: list[str] | None = None) -> DataFrame:
+    """Rows that need a place and whose name is that of a country, or else the name or id of a region: its centre, polygon, level and country.
+
+    countries: country, country_id, lat, lon, polygon.
+    """
+    name = country_name(F.col("loc"))
+    c = countries.select(F.col("country").alias("_c"), F.struct(F.col("country").alias("region_name"), F.lit("country").alias("level"), "country_id", "lat", "lon", "polygon").alias("_cr"))
+    r = region_keys(regions).select(F.col("key").alias("_k"), F.col("region").alias("_r"))
+    df = df.withColumns({"_skip": skips_geocoding(F.col("location"), F.col("country_assignment"), scope) | has_geometry(), "_c": name, "_k": normal_key(F.col("loc"))})
+    df = df.join(c, "_c", "left").join(r, "_k", "left")
+    of = lambda f: F.coalesce(F.col(f"_cr.{f}"), F.col(f"_r.{f}"))
+    values = {"geo_level": of("level"), "geo_source": F.lit("shapes"), "geo_match_type": F.when(F.col("_cr").isNotNull(), "country_exact").otherwise("region_exact"), "geo_name": of("region_name"), "lat": of("lat"), "lon": of("lon"), "polygon": of("polygon"), "country_id": of("country_id"), "region_id": F.col("_r.region_id"), "region_name": F.when(F.col("_cr").isNull(), F.col("_r.region_name"))}
+    return placed(df, ~F.col("_skip") & (F.col("_cr").isNotNull() | F.col("_r").isNotNull()), values).drop("_skip", "_c", "_k", "_cr", "_r")
+
+
 def with_overrides(df: DataFrame, overrides: DataFrame, regions: DataFrame) -> DataFrame:
     """Overrides by hand for rows that need a place. overrides: row (order), location, action, target_name, country_id, nuts2_id, nuts3_id, lat, lon, all text but row.
 

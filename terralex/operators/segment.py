@@ -31,6 +31,12 @@ def sentences(df: DataFrame, text: str, keys: list[str], guarded: bool = False)
     return rows.select(*keys, (F.col("i") + 1).alias("sentence_id"), "sentence_count", F.trim("s").alias("sentence_text"))
 
 
+def placed_sentences(df: DataFrame, text: str, keys: list[str], point: str, polygon: str) -> DataFrame:
+    """sentences of rows that have a place: rows without a point and without a polygon give none."""
+    says = lambda c: F.trim(or_empty(F.col(c))) != ""
+    return sentences(df.where(says(point) | says(polygon)), text, keys)
+
+
 def with_uid(df: DataFrame, parts: list[str]) -> DataFrame:
     """Adds uid, and row_key: equal uids are numbered from 0."""
     df = df.withColumn("uid", uid(*(F.col(p) for p in parts)))

@@ -1,6 +1,6 @@
 """All named queries and their SQL."""
 
-from terralex.plans import places, scoring
+from terralex.plans import places, scoring, tables
 from terralex.plans.queries import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "places", "scoring"]
+__all__ = ["ORACLES", "QUERIES", "places", "scoring", "tables"]

@@ -133,6 +133,13 @@ def j6_geocoding_cascade(spark, sf):
     return rows.select("id", "geo_level", "geo_source", "geo_match_type", "geo_name", "lat", "lon", "country_id")
 
 
+@query(f"""with {_ASKED}, hit(loc, lev, kind, name, la, cid, rid) as (values ('Toscana', 'nuts2', 'region_exact', 'Toscana', 41, 'ITA', 'ITI1'), ('Italy', 'country', 'country_exact', 'Italy', 42.5, 'ITA', null))
+select id, lev geo_level, kind geo_match_type, name geo_name, la::double lat, cid country_id, rid region_id from asked left join hit on hit.loc = asked.loc and not several""")
+def j3_exact_regions(spark, sf):
+    countries = _frame(spark, [("Italy", "ITA", 42.5, 12.5, "POLYGON IT")], "country string, country_id string, lat double, lon double, polygon string")
+    return P.with_exact_regions(_asked(spark, sf), _regions(spark), countries).select("id", "geo_level", "geo_match_type", "geo_name", "lat", "country_id", "region_id")
+
+
 @query(f"with {_ASKED} select id, fine from need")
 def p8_unmatched_mask(spark, sf):
     return _asked(spark, sf).select("id", P.unmatched().alias("fine"))

@@ -273,3 +273,4 @@ def p5_one_geometry(spark, sf):
 @query("""with h as (select distinct o_custkey from orders) select 'input' kind, count(*) n from customer union all select 'assigned', count(*) from customer where c_custkey in (select o_custkey from h) union all select 'unassigned', count(*) from customer where c_custkey not in (select o_custkey from h)""")
 def j15_audit(spark, sf):
     return A.assignment_audit(table(spark, sf, "customer"), table(spark, sf, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+

@@ -3,6 +3,7 @@ import json
 import random
 import struct
 import zipfile
+import zlib
 from collections import Counter
 
 import pytest
@@ -242,6 +243,11 @@ def test_balanced_assignment(spark):
     assert sorted(rows, key=lambda r: r["id"]) == sorted(rows, key=lambda r: (r["rater"], r["id"]))
 
 
+def test_buckets_are_stable(spark):
+    rows = spark.createDataFrame([("a",), ("uid-17",), ("ü",)], "uid string").select("uid", E.bucket("uid").alias("b")).collect()
+    assert all(r["b"] == zlib.crc32(r["uid"].encode()) % 100 for r in rows)
+
+
 def test_a_repeated_key_fails(spark):
     a = spark.createDataFrame([(1, "x"), (1, "y")], "k int, v string")
     with pytest.raises(Exception, match="repeated keys"):
