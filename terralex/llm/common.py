@@ -11,6 +11,7 @@ import tempfile
 import unicodedata
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -46,16 +47,33 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Lists of the folders that operators made within each open `owned`.
+_OWNERS: list[list[str]] = []
+
+
+@contextmanager
+def owned(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, the tables that operators called within wrote: write what is wanted of their results before."""
+    _OWNERS.append([])
+    try:
+        yield
+    finally:
+        for root in _OWNERS.pop():
+            _remove(spark, root)
+
+
 class Scratch:
     """Parquet tables in shared storage that cut the lineage of one operator call.
 
-    A lost executor costs at most the stage since the last cut. Tables that the result
-    still reads stay until the interpreter ends; `drop` removes the others at once.
+    A lost executor costs at most the stage since the last cut. Tables that the result still reads stay
+    until `owned` or the interpreter ends; `drop` removes the others at once.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
         self.paths: dict[int, str] = {}
+        if _OWNERS:
+            _OWNERS[-1].append(self.root)
         atexit.register(_remove, spark, self.root)
 
     def cut(self, df: DataFrame) -> DataFrame:

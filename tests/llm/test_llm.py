@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from terralex.llm import bpe, embedding_dedup, minhash, packing, pii, sharding, substring_dedup, token_counts, toxicity, winnow
+from terralex.llm import bpe, common, embedding_dedup, minhash, packing, pii, sharding, substring_dedup, token_counts, toxicity, winnow
 
 LONG = " ".join(f"w{i % 7}" for i in range(90))
 EDGE = [(1, None), (2, ""), (3, "a"), (4, LONG), (4, LONG), (None, LONG), (5, "x" * 5000), (6, "héllo <|endoftext|> Σίσυφος  \n 12"), (7, "hello " * 3000)]
@@ -429,6 +429,18 @@ def test_empty_tables(spark, name):
     assert run(empty).count() == 0
 
 
+def test_owned_tables_are_removed(spark, docs, tmp_path):
+    before = spark.conf.get("spark.checkpoint.dir", None)
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        with common.owned(spark):
+            rows = sharding.ring_shards(docs).collect()
+            assert any(tmp_path.iterdir())
+        assert len(rows) == docs.count() and not any(tmp_path.iterdir())
+    finally:
+        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+
+
 def test_empty_embeddings_and_labels(spark):
     assert embedding_dedup.embedding_dedup(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id long, text string")
