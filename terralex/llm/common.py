@@ -27,14 +27,18 @@ POLY = np.uint64(0x9E3779B97F4A7C15)
 MIX_1, MIX_2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
+#: Folders of sessions that have none in their settings, by application.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir; where a session of one process has none (tests), one of its own is set. A cluster must name one."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or _OWN.get(spark.sparkContext.applicationId)
     if not root:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="terralex-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        _OWN[spark.sparkContext.applicationId] = root  # a running session's setting can't be changed
         atexit.register(_remove, spark, root)
     return root.rstrip("/")
 

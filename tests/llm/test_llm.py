@@ -6,6 +6,7 @@ import struct
 import time
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers as P
@@ -429,16 +430,27 @@ def test_empty_tables(spark, name):
     assert run(empty).count() == 0
 
 
-def test_owned_tables_are_removed(spark, docs, tmp_path):
-    before = spark.conf.get("spark.checkpoint.dir", None)
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        with common.owned(spark):
-            rows = sharding.ring_shards(docs).collect()
-            assert any(tmp_path.iterdir())
-        assert len(rows) == docs.count() and not any(tmp_path.iterdir())
-    finally:
-        spark.conf.set("spark.checkpoint.dir", before) if before else spark.conf.unset("spark.checkpoint.dir")
+def test_owned_tables_are_removed(spark, docs):
+    root = Path(common.shared_dir(spark).removeprefix("file://"))
+    before = set(root.glob("*"))
+    with common.owned(spark):
+        rows = sharding.ring_shards(docs).collect()
+        assert set(root.glob("*")) > before
+    assert len(rows) == docs.count() and set(root.glob("*")) <= before
+
+
+def test_a_cluster_must_name_the_shared_folder(spark, monkeypatch):
+    class Session:
+        def __init__(self, master):
+            self.conf = type("Conf", (), {"get": lambda self, key, default: default})()
+            self.sparkContext = type("Context", (), {"master": master, "applicationId": master})()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session("spark://host:7077"))
+    monkeypatch.setattr(common.atexit, "register", lambda *a: None)
+    own = common.shared_dir(Session("local[4]"))
+    assert own == common.shared_dir(Session("local[4]"))
+    Path(own.removeprefix("file://")).rmdir()
 
 
 def test_empty_embeddings_and_labels(spark):
