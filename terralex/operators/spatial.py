@@ -23,16 +23,13 @@ FEATURE_CLASSES = {"P": 10, "A": 20, "S": 30, "T": 40, "H": 50, "L": 60}
 def edge_table(spark: SparkSession, areas: dict[str, list[Ring]], cell: float = 1.0) -> DataFrame:
     """Edges of areas (area, x1, y1, x2, y2), once for each row of grid cells left of them, so that a ray to the right meets them.
 
-    The number of rows follows the boundaries' lengths in cells, not the points.
+    The number of rows follows the boundaries' lengths in cells, not the points; they are made where they are used.
     """
-    rows = []
-    for area, rings in areas.items():
-        left = math.floor(min(x for r in rings for x, _ in r) / cell)
-        for edge in edges_of(rings):
-            x1, y1, x2, y2 = map(float, edge)
-            for cy in range(math.floor(min(y1, y2) / cell), math.floor(max(y1, y2) / cell) + 1):
-                rows += [(area, x1, y1, x2, y2, cx, cy) for cx in range(left, math.floor(max(x1, x2) / cell) + 1)]
-    return spark.createDataFrame(rows, "area string, x1 double, y1 double, x2 double, y2 double, cx long, cy long")
+    edges = [(area, *map(float, e), float(min(x for r in rings for x, _ in r))) for area, rings in areas.items() for e in edges_of(rings)]
+    rows = spark.createDataFrame(edges, "area string, x1 double, y1 double, x2 double, y2 double, low double")
+    at = lambda c: F.floor(c / F.lit(cell))
+    rows = rows.withColumn("cy", F.explode(F.sequence(at(F.least("y1", "y2")), at(F.greatest("y1", "y2")))))
+    return rows.withColumn("cx", F.explode(F.sequence(at(F.col("low")), at(F.greatest("x1", "x2"))))).drop("low")
 
 
 def points_in_areas(points: DataFrame, edges: DataFrame, cell: float = 1.0) -> DataFrame:
