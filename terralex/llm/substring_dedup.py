@@ -76,32 +76,31 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(columns, ["anchor", "content", "did", "th", "start", "n", "again"])
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each window of the marked stretches, with a hash of its words."""
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The words of the marked stretches."""
     for batch in slices(batches):
-        dids, ths, starts, keys = [], [], [], []
+        out: tuple[list, ...] = ([], [], [], [], [], [])
         for did, th, text, marks in zip(*(batch.column(c).to_pylist() for c in ("did", "th", "text", "marks")), strict=True):
             words = (text or "").encode().split()
             for m in marks:
-                for at in range(m["start"], m["start"] + m["n"]):
-                    dids.append(did)
-                    ths.append(th)
-                    starts.append(at)
-                    keys.append(xxhash.xxh3_64_intdigest(b" ".join(words[at : at + WINDOW])))
-        yield pa.record_batch([pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(dids, pa.int64()), pa.array(ths, pa.int64()), pa.array(starts, pa.int32())], ["key", "did", "th", "start"])
+                s = m["start"]
+                for column, x in zip(out, (m["key"], did, th, s, b" ".join(words[s : s + m["n"] + WINDOW - 1]), m["hot"]), strict=True):
+                    column.append(x)
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()), strict=True)], ["anchor", "did", "th", "start", "words", "hot"])
 
 
-def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The words of the marked stretches."""
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each window of stretches, by a hash of its words."""
     for batch in slices(batches):
         out: tuple[list, ...] = ([], [], [], [], [])
-        for did, th, text, marks in zip(*(batch.column(c).to_pylist() for c in ("did", "th", "text", "marks")), strict=True):
-            words = (text or "").encode().split()
-            for m in marks:
-                s = m["start"]
-                for column, x in zip(out, (m["key"], did, th, s, b" ".join(words[s : s + m["n"] + WINDOW - 1])), strict=True):
+        for did, th, start, content in zip(*(batch.column(c).to_pylist() for c in ("did", "th", "start", "words")), strict=True):
+            words = content.split(b" ")
+            for i in range(len(words) - WINDOW + 1):
+                window = b" ".join(words[i : i + WINDOW])
+                for column, x in zip(out, (xxhash.xxh3_64_intdigest(window), did, th, start + i, window), strict=True):
                     column.append(x)
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["anchor", "did", "th", "start", "words"])
+        keys = pa.array(np.array(out[0], np.uint64).view(np.int64))
+        yield pa.record_batch([keys, *(pa.array(c, t) for c, t in zip(out[1:], (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True))], ["anchor", "did", "th", "start", "words"])
 
 
 class Numbers(dict):
@@ -223,11 +222,6 @@ def _located(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield located()
 
 
-def _marks(docs: DataFrame, marked: DataFrame) -> DataFrame:
-    """did, th, text and marks of the documents that have any in marked (key, did, th, start, n)."""
-    return docs.join(marked.groupBy("did", "th").agg(F.collect_set(F.struct("start", "n", "key")).alias("marks")), ["did", "th"])
-
-
 def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """did, th, ranges (array of struct a, b): words a to b-1 of the documents that hold later occurrences.
 
@@ -245,16 +239,20 @@ def repeated_ranges(docs: DataFrame, scratch: Scratch) -> DataFrame:
     copies = copies.select("did", "th", F.col("start").alias("a"), F.expr(f"start + n + {WINDOW - 1}").alias("b"))
     open_ = contents.groupBy("anchor").agg(F.count("*").alias("m"), F.max("again").alias("more")).where("m > 1 or more").select("anchor", (F.col("m") > HOT).alias("hot"))
     firsts = scratch.cut(contents.join(open_, "anchor").select(F.col("anchor").alias("key"), "first.*", "hot"))
-    groups, hot = (firsts.where(c).drop("hot") for c in ("not hot", "hot"))
-    if not hot.isEmpty():
+    marks = firsts.groupBy("did", "th").agg(F.collect_set(F.struct("start", "n", "key", "hot")).alias("marks"))
+    rows = "anchor long, did long, th long, start int, words binary"
+    parts = docs.join(marks, ["did", "th"]).mapInArrow(released(_contents), f"{rows}, hot boolean")
+    if not firsts.where("hot").isEmpty():
         # a run of words that very many different stretches hold: their windows one by one, and groups of equal windows in parts that each hold the first
-        windows = scratch.cut(_marks(docs, hot).mapInArrow(released(_windows), "key long, did long, th long, start int"))
-        first = windows.groupBy("key").agg(F.count("*").alias("k"), F.min(place).alias("first")).where("k > 1").withColumn("parts", F.expr(f"(k + {HOT - 1}) div {HOT}"))
-        one = F.lit(1).alias("n")
-        later = windows.join(first, "key").where(place != F.col("first")).select(F.xxhash64("key", F.expr("pmod(xxhash64(did, th, start), parts)")).alias("key"), "did", "th", "start", one)
-        earliest = first.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select(F.xxhash64("key", "part").alias("key"), "first.did", "first.th", "first.start", one)
-        groups = groups.union(later).union(earliest)
-    parts = _marks(docs, groups).mapInArrow(released(_contents), "anchor long, did long, th long, start int, words binary")
+        parts = scratch.cut(parts)
+        windows = scratch.cut(parts.where("hot").mapInArrow(released(_windows), rows))
+        first = windows.groupBy("anchor").agg(F.count("*").alias("k"), F.min(F.struct("did", "th", "start", "words")).alias("first")).where("k > 1").withColumn("parts", F.expr(f"(k + {HOT - 1}) div {HOT}"))
+        later = windows.join(first, "anchor").where(place != F.struct("first.did", "first.th", "first.start"))
+        later = later.select(F.xxhash64("anchor", F.expr("pmod(xxhash64(did, th, start), parts)")).alias("anchor"), "did", "th", "start", "words")
+        earliest = first.withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select(F.xxhash64("anchor", "part").alias("anchor"), "first.*")
+        parts = parts.where("not hot").drop("hot").union(later).union(earliest)
+    else:
+        parts = parts.drop("hot")
     parts = parts.repartition("anchor").sortWithinPartitions("anchor", "did", "th", "start")
     found = scratch.cut(parts.mapInArrow(released(_located), "did long, th long, a int, b int").union(copies))
     scratch.release_shuffles()
