@@ -9,6 +9,7 @@ characters is one gram, an empty one has none.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -132,8 +133,9 @@ def edited_fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame
     own = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(F.col("_below")).cast("int")
     ranged = with_rank(rows, "_below", F.bitwise_not("doc_id"), cuts).withColumn("part", own).drop("_below")
     heads = ranged.groupBy("part").agg(F.max("doc_id").alias("head_id")).orderBy("part").collect()  # a row per range
-    firsts = [(h["head_id"], heads[i - 1]["part"]) for i, h in enumerate(heads)]
-    first = rows.join(F.broadcast(spark.createDataFrame(firsts, "head_id long, part int")), F.col("doc_id").eqNullSafe(F.col("head_id")))
+    firsts = json.dumps([{"head_id": h["head_id"], "part": heads[i - 1]["part"]} for i, h in enumerate(heads)])
+    firsts = spark.range(1).select(F.inline(F.from_json(F.lit(firsts), "array<struct<head_id: bigint, part: int>>")))
+    first = rows.join(F.broadcast(firsts), F.col("doc_id").eqNullSafe(F.col("head_id")))  # a row for each range
     first = first.groupBy("part").agg(F.min("text").alias("head"))
     first = first.withColumn("head_chosen", fingerprint(F.col("head")))
     order = Window.partitionBy("part").orderBy(F.col("doc_id").desc_nulls_last(), "text")
