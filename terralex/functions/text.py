@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +33,11 @@ def normal_text(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s+|\s+$", "")
 
 
+def stripped(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(or_empty(c), r"^\s+|\s+$", "")
+
+
 def folded(c: Column) -> Column:
     return F.translate(F.lower(c), *ACCENTS)
 
@@ -132,7 +135,7 @@ ABBREVIATIONS = ["dhr", "dr", "prof", "mr", "mevr", "mw", "ir", "ing", "st", "nr
 
 def guarded_sentence_list(c: Column) -> Column:
     """As sentence_list, but abbreviations don't end a sentence, digits may begin one, and quotes or brackets that close one go with the white space."""
-    text = F.trim(or_empty(c))
+    text = stripped(c)
     for a in (a for a in ABBREVIATIONS if "." in a):
         first, last = a.split(".")
         text = F.regexp_replace(text, rf"(?iU)\b({first})\.({last})\.", "$1\u0002$2\u0002")
@@ -141,11 +144,6 @@ def guarded_sentence_list(c: Column) -> Column:
     return F.filter(F.transform(parts, lambda x: F.trim(F.translate(x, "\u0002", "."))), lambda x: x != "")
 
 
-def coalesced_first(*conditions: tuple[Column, Column]) -> Column:
-    """The value of the first condition that holds."""
-    return reduce(lambda acc, cv: F.when(cv[0], cv[1]).otherwise(acc), reversed(conditions), F.lit(None))
-
-
 def slug(c: Column) -> Column:
     """A name for files: runs of anything but letters, digits and _ as one hyphen."""
     return F.trim(F.regexp_replace(F.lower(F.trim(or_empty(c))), r"[^\p{L}\p{N}_]+", "-"), F.lit("-"))

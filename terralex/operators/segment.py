@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from terralex.functions.text import ABBREVIATIONS, MONTHS, WEEKDAYS, blank_words, guarded_sentence_list, or_empty, sentence_list, uid
+from terralex.functions.text import ABBREVIATIONS, MONTHS, WEEKDAYS, blank_words, guarded_sentence_list, or_empty, sentence_list, stripped, uid
 
 #: Limits of a paragraph, words of a short one that stands alone at a boundary, of a heading at most, and least likeness of what belongs together.
 MAX_WORDS, TARGET_WORDS, MAX_SENTENCES, MIN_WORDS, ALONE_WORDS, HEADING_WORDS, LEAST_LIKENESS, MICRO = 180, 120, 6, 40, 25, 12, 0.48, 2
@@ -20,7 +20,7 @@ MAX_WORDS, TARGET_WORDS, MAX_SENTENCES, MIN_WORDS, ALONE_WORDS, HEADING_WORDS, L
 
 def export_parts(df: DataFrame, text: str) -> DataFrame:
     """A row for each document of an export file."""
-    parts = F.filter(F.transform(F.split(or_empty(F.col(text)), r"(?i)\bEnd of Document\b"), lambda x: F.trim(x)), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(or_empty(F.col(text)), r"(?i)\bEnd of Document\b"), stripped), lambda x: x != "")
     return df.select("*", F.posexplode(parts).alias("part", "part_text"))
 
 

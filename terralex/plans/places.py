@@ -283,3 +283,62 @@ def g2_joined_lines(spark, sf):
     from terralex.operators.segment import joined_lines
 
     return table(spark, sf, "documents").select("doc_id", joined_lines(F.col("text")).alias("text"))
+
+
+@query("""select doc_id, unnest([0, 1])::int part, unnest(['A ' || doc_id, source || chr(10) || 'more']) part_text from documents""")
+def t2_export_parts(spark, sf):
+    from terralex.operators.segment import export_parts
+
+    t = F.concat(F.lit(" \n End of document A "), F.col("doc_id"), F.lit(" END OF DOCUMENT\n"), F.col("source"), F.lit("\nmore End of Document  "))
+    return export_parts(table(spark, sf, "documents").select("doc_id", t.alias("text")), "text").select("doc_id", "part", "part_text")
+
+
+_DATES = ["maandag 5 mei 2020", "7. März 2021, Sonntag", "12 gennaio 2019", "March 3, 2018", "31-12-2017", "2016-02-29", "30 februari 2016", ""]
+
+
+@query("select doc_id, [date '2020-05-05', date '2021-03-07', date '2019-01-12', date '2018-03-03', date '2017-12-31', date '2016-02-29', null, null][doc_id % 8 + 1]::varchar as day from documents")
+def t6_parsed_dates(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.parsed_date(_pick(_DATES, F.col("doc_id") % 8)).cast("string").alias("day"))
+
+
+@query("select doc_id, ['5 May 2020', '7 March 2021', '12 January 2019', 'March 3 2018', '31-12-2017', '2016-02-29', '30 February 2016', ''][doc_id % 8 + 1] as day from documents")
+def t5_english_dates(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", T.english_date(_pick(_DATES, F.col("doc_id") % 8)).alias("day"))
+
+
+@query("select doc_id, case doc_id % 3 when 0 then lang || '|merged_short' when 1 then 'layout_boundary|' || lang || '|merged_short' else 'unknown' end reason from documents")
+def g10_reasons(spark, sf):
+    k = F.col("doc_id") % 3
+    a = F.when(k == 0, F.concat("lang", F.lit("|"), "lang")).when(k == 1, F.concat(F.lit("layout_boundary|"), F.col("lang")))
+    return table(spark, sf, "documents").select("doc_id", T.joined_reasons(a, F.when(k < 2, F.concat(F.lit("merged_short|"), F.col("lang")))).alias("reason"))
+
+
+@query("""select doc_id, 'Na_me-' || doc_id || '-' || substring(sha1('/a b/Na me-' || doc_id || '.rtf'), 1, 10) source_id from documents""")
+def s5_source_ids(spark, sf):
+    from terralex.sources.files import source_id
+
+    return table(spark, sf, "documents").select("doc_id", source_id(F.concat(F.lit("/a b/Na me-"), F.col("doc_id"), F.lit(".rtf"))).alias("source_id"))
+
+
+_PLACE_NAMES = ["Gemeente Delft", "provincia di Pisa (Toscana)", "Landkreis  Aalen", "Stad Utrecht, Leiden", "Rome / Milano", "Baden en Wien", " ; Essen; Bonn", ""]
+
+
+@query("select c_custkey id, ['Delft', 'Pisa', 'Aalen', 'Utrecht, Leiden', 'Rome / Milano', 'Baden en Wien', '; Essen; Bonn', ''][c_custkey % 8 + 1] place from customer")
+def c10_clean_places(spark, sf):
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), C.clean_place(_pick(_PLACE_NAMES, F.col("c_custkey") % 8)).alias("place"))
+
+
+@query("select c_custkey id, ['Gemeente Delft', 'provincia di Pisa (Toscana)', 'Landkreis  Aalen', 'Stad Utrecht', 'Rome', 'Baden', 'Essen', ''][c_custkey % 8 + 1] place from customer")
+def c11_first_candidates(spark, sf):
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), C.first_candidate(_pick(_PLACE_NAMES, F.col("c_custkey") % 8)).alias("place"))
+
+
+@query("select c_custkey id, ['Germany', 'Austria', null, 'Italy', 'Netherlands', null][c_custkey % 6 + 1] country from customer")
+def c2_country_of_id(spark, sf):
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), C.country_of_id(_pick(["deu", " AT ", "Austria", "IT", "NLD", ""], F.col("c_custkey") % 6)).alias("country"))
+
+
+@query("select o_orderkey from orders where o_orderkey not in (select o_orderkey from orders where o_orderstatus in ('F', 'P'))")
+def r6_open_work(spark, sf):
+    o = table(spark, sf, "orders")
+    return o.select("o_orderkey").join(o.where(F.col("o_orderstatus").isin("F", "P")).select("o_orderkey"), "o_orderkey", "left_anti")
