@@ -21,6 +21,8 @@ from terralex.llm.common import with_rank
 K, W = 12, 12
 #: Characters of the shortest text that has a whole window.
 LEAST = W + K - 1
+#: Windows of a block of `fingerprints`.
+BLOCK = 128
 PRIME = 2**31 - 1
 BASE = 1_000_003
 
@@ -70,7 +72,8 @@ def head_of(chosen: Column, chars: Column) -> Column:
     def early(own: Column, n: Column, x: Column, i: Column) -> Column:
         last = F.get(own, i - 1)
         first = F.when(i == 0, F.lit(0)).when(F.shiftrightunsigned(x, 32) <= F.shiftrightunsigned(last, 32), place(x) - (W - 1)).otherwise(place(last) + 1)
-        return first + LEAST <= n
+        # that window starts at the gram's place at the latest, and only grams near the end need it
+        return (place(x) + LEAST <= n) | ((place(x) + K <= n) & (first + LEAST <= n))
 
     # as variables of lambdas both are computed once, not for each gram
     return let(chosen, lambda own: let(chars, lambda n: F.filter(own, lambda x, i: early(own, n, x, i))))
@@ -95,21 +98,52 @@ def shown(chosen: Column) -> Column:
     return F.array_join(F.transform(chosen, one), " ")
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Jaccard similarity of the hashes of two fingerprints; 1 if both are empty."""
-    hashes = lambda x: F.array_distinct(F.transform(x, lambda v: F.shiftrightunsigned(v, 32)))
+def hashes(chosen: Column) -> Column:
+    """The different hashes of a fingerprint."""
+    return F.array_distinct(F.transform(chosen, lambda x: F.shiftrightunsigned(x, 32)))
+
 
-    def jaccard(p: Column) -> Column:
-        both = F.size(F.array_intersect(p["a"], p["b"]))
-        all_ = F.size(p["a"]) + F.size(p["b"]) - both
-        return F.when(all_ == 0, F.lit(1.0)).otherwise(both / all_)
+def likeness(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two sets of hashes; 1 if both are empty."""
+    both = F.size(F.array_intersect(a, b))
+    all_ = F.size(a) + F.size(b) - both
+    return F.when(all_ == 0, F.lit(1.0)).otherwise(both / all_)
 
-    return let(F.struct(hashes(a).alias("a"), hashes(b).alias("b")), jaccard)
 
+def fingerprints(docs: DataFrame, by: list[str]) -> DataFrame:
+    """Columns `by` and text (string, not null) of docs and chosen (array<bigint>, see `fingerprint`).
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """Columns of docs and chosen (array<bigint>, see `fingerprint`) of column text; a null text has none."""
-    return docs.withColumn("chosen", fingerprint(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    Texts are cut into blocks of BLOCK windows, a row each, whose grams and windows are columns: for these Spark
+    compiles code, where it interprets lambdas over arrays. So wide a table isn't compiled into one method, which
+    would be too long for the JVM (spark.sql.codegen.maxFields, 100). A document's blocks come together again
+    where they are, if docs are partitioned by some of `by`.
+    """
+    ends = (F.length("text") - LEAST).alias("_end")  # the last place where a window starts; here, for to count characters for each block would take quadratic time
+    rows = docs.select(*by, "text", ends, F.monotonically_increasing_id().alias("_row"), F.transform(F.split("text", ""), F.ascii).alias("_codes"))
+    rows = rows.withColumn("_at", F.explode(F.sequence(F.lit(0), F.greatest("_end", F.lit(0)), F.lit(BLOCK))))
+    keep, wide = [*by, "_row", "_at", "_last", "_text"], BLOCK + LEAST - 1
+    first = F.when(F.col("_at") == 0, F.col("text"))
+    rows = rows.select(*by, "_row", "_at", (F.col("_end") - F.col("_at")).alias("_last"), first.alias("_text"), F.slice("_codes", F.col("_at") + 1, F.lit(wide)).alias("_codes"))
+
+    def columns(rows: DataFrame, wide: int, value: Callable[[int], str]) -> DataFrame:
+        return rows.selectExpr(*(f"`{c}`" for c in keep), *(f"{value(i)} _{i}" for i in range(wide)))
+
+    def joined(shift: int) -> Callable[[int], str]:
+        return lambda i: f"(_{i} * {pow(BASE, shift, PRIME)}L + _{i + shift}) % {PRIME}L"
+
+    rows = columns(rows, wide, lambda i: f"coalesce(bigint(get(_codes, {i})), 0L)")  # places after the end count in no window
+    rows = columns(rows, wide := wide - 2, lambda i: f"((_{i} * {BASE}L + _{i + 1}) * {BASE}L + _{i + 2}) % {PRIME}L")  # less than 2^63
+    rows = columns(rows, wide := wide - 3, joined(3))
+    rows = columns(rows, wide := wide - 6, lambda i: f"{joined(6)(i)} * {2**32}L + ({2**32 - 1 - i}L - _at)")
+    for shift in (1, 2, 4, W - 8):
+        rows = columns(rows, wide := wide - shift, lambda i, by=shift: f"if(_{i} < _{i + by}, _{i}, _{i + by})")
+    new = ["if(_last >= 0, _0, -1L)", *(f"if(_last < {i} or _{i} = _{i - 1}, -1L, _{i})" for i in range(1, wide))]
+    rows = rows.select(*by, "_row", "_at", "_text", F.expr(f"array_remove(array({', '.join(new)}), -1L)").alias("_chosen"))
+    # the text lies in the first block: an aggregate of its own would copy it for each block
+    rows = rows.groupBy(*by, "_row").agg(F.sort_array(F.collect_list(F.struct("_at", "_chosen", "_text"))).alias("_blocks"))
+    rows = rows.select(*by, F.get("_blocks", F.lit(0))["_text"].alias("text"), "_blocks")
+    whole = F.array_distinct(F.flatten("_blocks._chosen"))
+    return rows.select(*by, "text", F.when(F.length("text") < LEAST, fingerprint(F.col("text"))).otherwise(whole).alias("chosen"))
 
 
 def edited_fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
@@ -139,13 +173,14 @@ def edited_fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame
     first = first.groupBy("part").agg(F.min("text").alias("head"))
     first = first.withColumn("head_chosen", fingerprint(F.col("head")))
     order = Window.partitionBy("part").orderBy(F.col("doc_id").desc_nulls_last(), "text")
-    dealt = fingerprints(ranged.repartition("part"))  # texts alone are shuffled
+    dealt = fingerprints(ranged.repartition("part"), ["part", "doc_id"])  # texts alone are shuffled
     dealt = dealt.withColumn("next", F.lead(F.struct("text", "chosen")).over(order)).join(first, "part", "left")
     dealt = dealt.withColumns({"next_text": F.coalesce("next.text", "head"), "next_chosen": F.coalesce("next.chosen", "head_chosen")})
     n = F.length("text")
     dealt = dealt.select("doc_id", n.cast("long").alias("n_chars"), "chosen", "next_chosen", F.expr("concat(left(text, length(text) - length(text) div 2), left(next_text, cast(length(text) div 2 as int)))").alias("edited"))
     dealt = dealt.withColumn("edited_chosen", edited_fingerprint(F.col("edited"), F.col("chosen"), F.col("next_chosen"), (F.col("n_chars") - F.floor(F.col("n_chars") / 2)).cast("int")))
+    dealt = dealt.withColumns({"own_hashes": hashes(F.col("chosen")), "next_hashes": hashes(F.col("next_chosen")), "edited_hashes": hashes(F.col("edited_chosen"))})
     return dealt.select(
         "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), shown(F.col("chosen")).alias("fingerprint"), shown(F.col("edited_chosen")).alias("edited_fingerprint"),
-        likeness(F.col("chosen"), F.col("edited_chosen")).alias("near_edited"), likeness(F.col("chosen"), F.col("next_chosen")).alias("near_next"),
+        likeness(F.col("own_hashes"), F.col("edited_hashes")).alias("near_edited"), likeness(F.col("own_hashes"), F.col("next_hashes")).alias("near_next"),
     )

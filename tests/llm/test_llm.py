@@ -401,6 +401,20 @@ def test_fingerprints_equal_plain_python(spark):
         assert got[d]["near_edited"] == pytest.approx(alike({h for h, _ in own}, {h for h, _ in new}))
 
 
+def test_fingerprints_over_blocks_equal_plain_python(spark):
+    random.seed(5)
+    edges = [i * winnow.BLOCK + winnow.LEAST + j for i in (0, 1, 2) for j in (-2, -1, 0, 1, 12)]
+    texts = ["", "x" * 400, "\U0010ffff" * 300, "ab" * 200] + ["".join(random.choices("ab é\U0001f600\n", k=k)) for k in [*edges, 1, 11, 12, 5_000]]
+    rows = [(i % 3 or None, t) for i, t in enumerate(texts + texts[-2:])]  # ids and whole rows repeat
+    got = winnow.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), ["doc_id"])
+    told = [(r["doc_id"], r["text"], [(x >> 32, (x & 0xFFFFFFFF) - 0xFFFFFFFF) for x in r["chosen"]]) for r in got.collect()]
+    assert sorted(told, key=repr) == sorted(((d, t, winnowed(t)) for d, t in rows), key=repr)
+    plan = got._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    wide = [x for x in plan.splitlines() if " AS _0#" in x]
+    # grams and windows of long texts are compiled columns: not lambdas, which are interpreted, nor one method, too long for the JVM to compile
+    assert len(wide) == 8 and not any("lambda" in x or re.search(r"\*\(\d+\) Project", x) for x in wide)
+
+
 def test_short_documents_keep_a_fingerprint(spark):
     random.seed(4)
     word = lambda: "".join(random.choices("abcdefghijklmnop", k=6))
